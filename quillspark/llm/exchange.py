@@ -19,7 +19,7 @@ from quillspark.llm import hashing as H
 SCHEMA = "part int, kind int, a binary, b binary, c binary"
 SINGLE, SHARED, DIRECT, HEADER = 0, 1, 2, 3
 #: Bytes of text that one run holds.
-RUN_BYTES = 12 << 20
+RUN_BYTES = 4 << 20
 
 
 def runs(batches: Iterator[pd.DataFrame], key: str, text: str, size: int = RUN_BYTES) -> Iterator[tuple[np.ndarray, list[bytes]]]:

@@ -33,7 +33,10 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
 def prefix_sums(buf: np.ndarray) -> np.ndarray:
     """S with S[j] = sum of (byte+1) * base**i for i < j; length len(buf)+1."""
     out = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * powers(len(buf)), dtype=np.uint64, out=out[1:])
+    out[1:] = buf
+    out[1:] += np.uint64(1)
+    out[1:] *= powers(len(buf))
+    np.cumsum(out, out=out)
     return out
 
 

@@ -40,7 +40,7 @@ from quillspark.llm import scratch
 from quillspark.llm.merging import front_code, lcp_merge
 
 WIDTH, GRAM = 200, 64
-RUN_BYTES = 8 << 20
+RUN_BYTES = 3 << 20
 
 
 def stretches(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
