@@ -9,10 +9,12 @@ and labels each document with the smallest id that links reach.
    shared links with nothing and leaves.
 2. Documents with equal sets form a class; its smallest id stands for it.
 3. The global n-gram order is frequency band, then hash. A pair that links has a common
-   n-gram in both prefixes, which gives candidates. In each n-gram's group every member
-   is paired with the group's smallest first; after these links are contracted, only
-   members outside a group's largest component are paired with other components' members.
-   So a group of copies costs its size, not its square.
+   n-gram in both prefixes, and at the first such n-gram both have enough n-grams left to
+   reach the overlap that their sizes ask for; other meetings are no candidates. In each
+   n-gram's group every member is paired first with the member that has the fewest n-grams
+   of its own, which is nearest to what the group was copied from; after these links are
+   contracted, only members outside a group's largest component are paired with other
+   components' members. So a group of copies costs its size, not its square.
 4. The order is cut into fragments. Partial overlaps of a candidate pair are counted in
    each fragment separately and summed per pair; the sum decides.
 
@@ -84,7 +86,7 @@ def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     documents that can link (else null)."""
     spark = docs.sparkSession
     scratch.small_batches(spark)
-    n = scratch.parts(spark)
+    n = 2 * scratch.parts(spark)
     d = scratch.one_row_per_id(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), "doc_id")
     sent = d.mapInPandas(_sender(n, width), X.SCHEMA)
     return X.exchange(sent, n).groupBy("part").applyInPandas(_assemble(percent), SET_SCHEMA)
@@ -92,7 +94,8 @@ def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", width
 
 def _segments(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(rep, frag, n, hs): each set's n-grams that another set holds, by fragment of the
-    global order; and (h, rep, n): the prefixes."""
+    global order; and (h, rep, n, left, own): the prefixes, with the number of n-grams from
+    there on and of those that no other set holds."""
     each = sets.select("rep", "n", F.explode("hs").alias("h"))
     df = each.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
     # the order: frequency band, then the hash as a fraction of its range
@@ -105,7 +108,8 @@ def _segments(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     need = F.ceil(F.col("n") * F.lit(percent) / 100)
     whole = each.groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("o", "h"))).alias("l"))
     take = (F.size("l") - need + 1).cast("int")
-    prefix = whole.filter(take > 0).select("rep", "n", F.explode(F.slice("l", F.lit(1), take)).alias("x")).select("x.h", "rep", "n")
+    prefix = whole.filter(take > 0).select("rep", "n", F.size("l").alias("s"), F.posexplode(F.slice("l", F.lit(1), take)).alias("at", "x"))
+    prefix = prefix.select("x.h", "rep", "n", (F.col("s") - F.col("at")).cast("long").alias("left"), (F.col("n") - F.col("s")).alias("own"))
     return scratch.stage(segs, "segments"), scratch.stage(prefix, "prefix")
 
 
@@ -130,11 +134,17 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     reps = member.filter("doc_id = rep").select("rep").join(sets.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "hs"), "rep")
     segs, prefix = _segments(reps, percent)
 
-    def near(x: str, y: str):
-        return F.expr(f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})")
+    def able(a: str, b: str):
+        """Whether a meeting can be a linking pair's first."""
+        return F.expr(f"(100 + {percent}) * least(l{a}, l{b}) >= {percent} * (n{a} + n{b})")
 
-    pivot = prefix.groupBy("h").agg(F.min(F.struct("rep", "n")).alias("p"), F.count("*").alias("m")).filter("m > 1").select("h", F.col("p.rep").alias("b"), F.col("p.n").alias("nb"))
-    pairs = prefix.select("h", F.col("rep").alias("a"), F.col("n").alias("na")).join(pivot, "h").filter("a <> b").filter(near("na", "nb")).select("a", "b").distinct()
+    def side(x: str) -> list:
+        return [F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("left").alias(f"l{x}")]
+
+    pivot = prefix.groupBy("h").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "rep", "n", "left")).alias("p"), F.count("*").alias("m"))
+    pivot = pivot.filter("m > 1").select("h", "p.*").select("h", *side("b"))
+    met = prefix.select("h", *side("a")).join(pivot, "h").filter("a <> b").filter(able("a", "b"))
+    pairs = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = scratch.stage(_links(pairs, segs, percent), "links")
     comp = components(links, "a", "b")
     # the rest: groups that still hold more than one component
@@ -142,12 +152,11 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     named = scratch.stage(named, "named")
     by = named.groupBy("h", "component").agg(F.count("*").alias("m"))
     big = by.groupBy("h").agg(F.max_by("component", F.struct("m", "component")).alias("big"), F.count("*").alias("c")).filter("c > 1").select("h", "big")
-    left = named.join(big, "h").select("h", "big", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    inner = left.select("h", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("ca").alias("cb"), F.col("big").alias("bb"))
+    left = named.join(big, "h").select("h", "big", *side("a"), F.col("component").alias("ca"))
+    inner = named.join(big, "h").select("h", *side("b"), F.col("component").alias("cb"), F.col("big").alias("bb"))
     # a is outside the largest component; of two such each pair is taken once
-    more = left.filter("ca <> big").join(inner, "h").filter("ca <> cb and (cb = bb or a < b)").filter(near("na", "nb"))
-    more = more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    more = more.join(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
+    met = left.filter("ca <> big").join(inner, "h").filter("ca <> cb and (cb = bb or a < b)").filter(able("a", "b"))
+    more = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     links2 = scratch.stage(_links(more, segs, percent), "links")
     every = links.unionByName(links2)
     if not links2.isEmpty():
