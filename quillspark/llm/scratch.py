@@ -32,9 +32,27 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_dir(spark, name)
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete shuffle files that nothing refers to any more: it learns of
+    them when the driver collects its garbage."""
+    spark._jvm.System.gc()
+
+
+def stage_bucketed(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
+    """``stage`` with the rows in ``n`` buckets by ``key``: later joins on it move the other
+    side alone. ``df`` must already lie in ``n`` hash partitions by ``key``."""
+    spark = df.sparkSession
+    path = new_dir(spark, name)
+    known = f"quill_{uuid.uuid4().hex}"
+    df.write.bucketBy(n, key).option("path", path).format("parquet").saveAsTable(known)
+    release(spark)
+    return spark.table(known)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

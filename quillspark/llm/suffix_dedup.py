@@ -40,7 +40,9 @@ from quillspark.llm import scratch
 from quillspark.llm.merging import front_code, lcp_merge
 
 WIDTH, GRAM = 200, 64
-RUN_BYTES = 3 << 20
+#: Windows of a block; blocks of a stretch at most; numbers of blocks in a run's document at most.
+BLOCK, BLOCKS, NUMBERS = 12, 16, 1 << 40
+RUN_BYTES = 3 << 19
 
 
 def stretches(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -103,16 +105,19 @@ def _answers(sent: DataFrame) -> DataFrame:
     return sent.groupBy("part").applyInPandas(_per_document, "doc_id long, hits binary")
 
 
+def _packed(lcps: np.ndarray, sizes: np.ndarray, rests: bytes, doc: np.ndarray, aux: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    a = lcps.astype("<u2").tobytes() + sizes.astype("<u2").tobytes() + rests
+    return zlib.compress(a, 1), zlib.compress(H.planes(doc) + H.planes(aux), 1), len(doc).to_bytes(4, "little")
+
+
 def _pack_run(items: list[bytes], docs: list[int], aux: list[int]) -> tuple[bytes, bytes, bytes]:
     lcps, rests = front_code(items)
-    a = np.array(lcps, "<u2").tobytes() + np.array([len(r) for r in rests], "<u2").tobytes() + b"".join(rests)
-    refs = H.planes(np.array(docs, np.int64)) + H.planes(np.array(aux, np.uint64))
-    return zlib.compress(a, 1), refs, len(items).to_bytes(4, "little")
+    return _packed(np.array(lcps, "<u2"), np.array([len(r) for r in rests], "<u2"), b"".join(rests), np.array(docs, np.int64), np.array(aux, np.uint64))
 
 
 def _unpack_run(a: bytes, refs: bytes, n: bytes) -> Iterator[tuple[int, bytes, object]]:
     m = int.from_bytes(n, "little")
-    a = zlib.decompress(a)
+    a, refs = zlib.decompress(a), zlib.decompress(refs)
     lcps = np.frombuffer(a, "<u2", m).tolist()
     ends = (np.cumsum(np.frombuffer(a, "<u2", m, 2 * m)) + 4 * m).tolist()
     docs, aux = H.unplanes(refs[: 8 * m], np.int64).tolist(), H.unplanes(refs[8 * m :]).tolist()
@@ -235,28 +240,87 @@ def _suffixes(n: int):
     return f
 
 
-def _edges(n: int):
+def _edge_units(docs: list[bytes], hits: list, done: list) -> tuple:
+    """Stretches whose single windows are to be looked at."""
+    _, ends, lo, hi, anchor, gram, doc, number, s, at = _candidates(docs, hits)
+    first = np.searchsorted(doc, np.arange(len(docs)))
+    told = [(k, H.unplanes(h).astype(np.int64)) for k, h in enumerate(done) if h]
+    none = np.zeros(0, np.int64)
+    over = np.concatenate([none, *(first[k] + x[x < EXPAND] for k, x in told)])
+    look = np.concatenate([none, *(first[k] + (x[x >= EXPAND] & (EXPAND - 1)) for k, x in told)])
+    at = np.union1d(np.setdiff1d(at, over), look)
+    begin = ends - np.array([len(x) for x in docs], np.int64) if docs else ends
+    return lo[at], hi[at], anchor[at], gram[at], doc[at], number[at], s, begin
+
+
+def _blocks(lo: np.ndarray, hi: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(unit, block) of every block of windows: BLOCK windows with like distance to the anchor."""
+    least, most = (anchor - hi) // BLOCK, (anchor - lo) // BLOCK
+    size = most - least + 1
+    unit = np.repeat(np.arange(len(lo)), size)
+    return unit, np.arange(len(unit)) - np.repeat(np.cumsum(size) - size - least, size)
+
+
+def _cores(n: int):
+    """Hashes of what all windows of a block have in common."""
+
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ids, docs, hits, done in _batches(batches, "hits", "done"):
-            _, ends, lo, hi, _, gram, doc, _, s, at = _candidates(docs, hits)
-            first = np.searchsorted(doc, np.arange(len(docs)))
-            told = [(k, H.unplanes(h).astype(np.int64)) for k, h in enumerate(done) if h]
-            over = [first[k] + x[x < EXPAND] for k, x in told]
-            look = [first[k] + (x[x >= EXPAND] & (EXPAND - 1)) for k, x in told]
-            at = np.union1d(np.setdiff1d(at, np.concatenate([np.zeros(0, np.int64), *over])), np.concatenate([np.zeros(0, np.int64), *look]))
-            size = hi[at] - lo[at] + 1
-            start = np.repeat(lo[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            g, d = np.repeat(gram[at], size), np.repeat(doc[at], size)
+            lo, hi, anchor, gram, doc, number, s, _ = _edge_units(docs, hits, done)
+            unit, block = _blocks(lo, hi, anchor)
+            start = anchor[unit] - block * BLOCK
+            core = H.ranges(s, start, start + WIDTH - BLOCK + 1)
+            key = H.mix(core ^ H.mix(gram[unit] + block.astype(np.uint64)))
+            rows = X.send(key, ids[doc[unit]], (number[unit] * BLOCKS + block).astype(np.uint64), n)
+            yield pd.DataFrame(list(rows), columns=["part", "kind", "a", "b", "c"])
+
+    return f
+
+
+def _edges(n: int):
+    def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for ids, docs, hits, done, cores in _batches(batches, "hits", "done", "cores"):
+            lo, hi, anchor, gram, doc, number, s, begin = _edge_units(docs, hits, done)
+            unit, block = _blocks(lo, hi, anchor)
+            none = np.zeros(0, np.int64)
+            known = [k * NUMBERS + H.unplanes(h).astype(np.int64) for k, h in enumerate(cores) if h]
+            keep = np.isin(doc[unit] * NUMBERS + number[unit] * BLOCKS + block, np.concatenate([none, *known]))
+            unit, block = unit[keep], block[keep]
+            last = np.minimum(hi[unit], anchor[unit] - block * BLOCK)
+            low = np.maximum(lo[unit], anchor[unit] - block * BLOCK - BLOCK + 1)
+            size = last - low + 1
+            start = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            g, d = np.repeat(gram[unit], size), np.repeat(doc[unit], size)
             w = H.ranges(s, start, start + WIDTH)
-            names = np.stack([g, w], axis=1).astype(">u8").tobytes()
-            items = [names[k : k + 16] for k in range(0, len(names), 16)]
-            begin = ends[d] - np.array([len(x) for x in docs], np.int64)[d] if len(d) else d
-            rows = _send_runs(items, _part_of(w, n), ids[d], (start - begin).astype(np.uint64), n)
+            rows = _send_names(g, w, ids[d], (start - begin[d]).astype(np.uint64), n)
             yield pd.DataFrame(list(rows), columns=["part", "kind", "a", "b", "c"])
 
     return f
 
 
+def _send_names(g: np.ndarray, w: np.ndarray, doc: np.ndarray, aux: np.ndarray, n: int) -> Iterator[tuple]:
+    """As ``_send_runs`` for the 16-byte names (g, w), in array operations."""
+    twice = []
+    for p, at in X.by_part(_part_of(w, n), n):
+        at = at[np.lexsort((w[at], g[at]))]
+        same = (g[at][1:] == g[at][:-1]) & (w[at][1:] == w[at][:-1])
+        many = np.zeros(len(at), bool)
+        many[1:] |= same
+        many[:-1] |= same
+        first = np.ones(len(at), bool)
+        first[1:] = ~same
+        twice.append(at[many])
+        sent, several = at[first], many[first]
+        name = np.stack([g[sent], w[sent]], axis=1).astype(">u8").view(np.uint8).reshape(-1, 16)
+        lcp = np.zeros(len(sent), "<u2")
+        lcp[1:] = (name[1:] != name[:-1]).argmax(axis=1)
+        rests = name[np.arange(16) >= lcp[:, None]].tobytes()
+        refs = aux[sent] | np.where(several, np.uint64(SEVERAL), np.uint64(0))
+        yield (p, X.SINGLE, *_packed(lcp, (16 - lcp).astype("<u2"), rests, doc[sent], refs))
+    i = np.concatenate([np.zeros(0, np.int64), *twice])
+    yield from X.direct(doc[i], aux[i], n)
+
+
 def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Spans to remove from each candidate document: repeated stretches and windows, united."""
     for ids, docs, done, windows in _batches(batches, "done", "windows"):
@@ -304,18 +368,20 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     n = scratch.parts(spark)
     d = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     d = scratch.one_row_per_id(d, "doc_id").withColumn("text", F.col("text").cast("binary"))
-    hits = _answers(X.exchange(d.mapInPandas(_grams(n), X.SCHEMA), n))
-    # one shuffle of the texts; from here on only documents with candidates are read
-    both = scratch.stage(d.join(hits, "doc_id", "left").withColumn("some", F.col("hits").isNotNull()), "candidates")
-    some = both.filter("some").select("doc_id", "text", "hits")
+    hits = scratch.stage(_answers(X.exchange(d.mapInPandas(_grams(n), X.SCHEMA), n)), "hits")
+    # the one shuffle of the texts: all that follows is joined to its buckets
+    every = d.repartition(n, "doc_id").join(hits.repartition(n, "doc_id"), "doc_id", "left")
+    every = scratch.stage_bucketed(every, "candidates", "doc_id", n)
+    some = every.filter("hits is not null")
     sent = some.mapInPandas(_suffixes(n), X.SCHEMA)
-    done = _answers(sent.groupBy("part").applyInPandas(_merge(n), X.SCHEMA)).withColumnRenamed("hits", "done")
-    some = scratch.stage(some.join(done, "doc_id", "left"), "stretches")
-    sent = some.mapInPandas(_edges(n), X.SCHEMA)
-    windows = _answers(sent.groupBy("part").applyInPandas(_merge(n), X.SCHEMA)).withColumnRenamed("hits", "windows")
-    out = some.select("doc_id", "text", "done").join(windows, "doc_id", "left").mapInPandas(_removed, RESULT)
-    rest = both.filter("not some").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"),
-                                          F.array().cast("array<array<long>>").alias("spans"), F.lit(0).cast("long").alias("n_removed"), F.col("text").alias("kept"))
+    done = scratch.stage(_answers(sent.groupBy("part").applyInPandas(_merge(n), X.SCHEMA)).withColumnRenamed("hits", "done"), "stretches")
+    some = some.join(done, "doc_id", "left")
+    cores = scratch.stage(_answers(X.exchange(some.mapInPandas(_cores(n), X.SCHEMA), n)).withColumnRenamed("hits", "cores"), "cores")
+    sent = some.join(cores, "doc_id").mapInPandas(_edges(n), X.SCHEMA)
+    windows = scratch.stage(_answers(sent.groupBy("part").applyInPandas(_merge(n), X.SCHEMA)).withColumnRenamed("hits", "windows"), "windows")
+    out = some.join(windows, "doc_id", "left").select("doc_id", "text", "done", "windows").mapInPandas(_removed, RESULT)
+    rest = every.filter("hits is null").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"),
+                                               F.array().cast("array<array<long>>").alias("spans"), F.lit(0).cast("long").alias("n_removed"), F.col("text").alias("kept"))
     return out.unionByName(rest)
 
 
