@@ -34,12 +34,14 @@ from pyspark.sql import functions as F
 from quillspark.llm import hashing as H
 from quillspark.llm import scratch
 
-EDITS = 0.2
+EDITS = 0.15
 SHORT = 40
-STRIDE = 6
+STRIDE = 2
 #: Steps of each walk with the positions that its keys sample. The shorter spans serve
 #: items with many edits, the longer ones tell common phrases apart.
-STEPS, WALKS, KEYS, SAMPLE = (48, 48), 2, 4, 12
+STEPS, WALKS, KEYS, SAMPLE = (60, 60), 2, 4, 18
+#: Length of the pieces that are counted before a distance is computed.
+PIECE = 4
 BLOCK_ITEMS = 20_000
 CHUNK = 4 << 20
 
@@ -52,7 +54,7 @@ class Plan:
         self.bits = [rng.integers(0, 2, (STEPS[w], 256), dtype=np.int32) for w in range(WALKS)]
         self.keys = []
         for w in range(WALKS):
-            spans = np.linspace(STEPS[w] * 5 // 8, STEPS[w], KEYS).astype(int)
+            spans = np.linspace(STEPS[w] // 2, STEPS[w], KEYS).astype(int)
             self.keys.append([set(rng.choice(s, SAMPLE, replace=False).tolist()) for s in spans])
 
     def embed(self, buf: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
@@ -107,6 +109,10 @@ def distance(item: bytes, text: bytes) -> int:
     return best
 
 
+def pieces(t: bytes) -> set[bytes]:
+    return {t[i : i + PIECE] for i in range(len(t) - PIECE + 1)}
+
+
 class Index:
     """Items by key: sorted keys of each table, with (item, offset)."""
 
@@ -114,6 +120,7 @@ class Index:
         self.plan = Plan()
         self.items = [(i, t) for i, t in items if len(t) >= SHORT]
         self.short = [(i, t, re.compile(rb"(?<!\S)" + re.escape(t) + rb"(?!\S)")) for i, t in items if 0 < len(t) < SHORT]
+        self.pieces = [[t[i : i + PIECE] for i in range(len(t) - PIECE + 1)] for _, t in self.items]
         pad = bytes(max(STEPS))
         starts, self.item, self.offset, at = [], [], [], 0
         for k, (_, t) in enumerate(self.items):
@@ -170,7 +177,14 @@ class Index:
                 continue
             tried[key].add(at >> 4)
             text = docs[d][max(0, at - allowed - 16) : at + len(t) + allowed + 16]
-            n = 0 if t in text else distance(t, text)
+            if t in text:
+                found[key] = 0
+                continue
+            # an edit spoils at most PIECE pieces; with fewer left the distance is too large
+            there = pieces(text)
+            if sum(x in there for x in self.pieces[k]) < len(self.pieces[k]) - allowed * PIECE:
+                continue
+            n = distance(t, text)
             if n <= allowed and n < found.get(key, 1 << 30):
                 found[key] = n
         return [(i, item, n) for (i, item), n in found.items()]
