@@ -27,8 +27,9 @@ from quillspark.llm import scratch
 from quillspark.llm.tokens import encoder, groups
 
 CAPACITY, END_ID = 4096, 2
-#: Longest piece; a group's pieces on average.
-PIECE, GROUP = 1024, 2048
+#: Longest piece; a group's pieces on average, where documents have that many each.
+PIECE, GROUP = 1024, 1024
+PIECES_A_DOCUMENT = 2
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -135,8 +136,7 @@ def pack(docs: DataFrame, path: str, keep_space: bool = False, key: str = "doc_i
     scratch.small_batches(spark)
     d = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     d = scratch.one_row_per_id(d, "doc_id")
-    chars = d.agg(F.sum(F.length("text") / 3 / PIECE + 1)).first()[0] or 0
-    n_groups = max(1, round(chars / GROUP))
+    n_groups = max(1, round(d.count() * PIECES_A_DOCUMENT / GROUP))
     pieces = d.mapInPandas(_cut(path, keep_space, n_groups), "grp long, doc_id long, start long, length long, ids binary, doc_tokens long")
     return pieces.groupBy("grp").applyInPandas(_pack(capacity), SCHEMA)
 

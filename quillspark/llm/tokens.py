@@ -12,10 +12,10 @@ import re
 import numpy as np
 
 #: Chunks remembered at most, and the longest chunk that is remembered.
-MEMORY, LONGEST = 400_000, 64
+MEMORY, LONGEST = 600_000, 64
 _loaded: dict[tuple[str, bool], "Encoder"] = {}
 _ODD, _SPACE = re.compile(r" (?:\s|\Z)"), re.compile(r"\s")
-_MARKS = tuple(",.;:!?")
+_MARKS = frozenset(",.;:!?")
 
 
 class Encoder:
@@ -41,7 +41,9 @@ class Encoder:
     def chunks(self, text: str) -> list[str]:
         """The first chunk, and those after a space."""
         if not self.space:
-            return text.replace("\n", " ").split(" ")
+            text = text.replace("\n", " ")
+            # lower-casing twice is lower-casing once, but for letters that depend on their neighbours
+            return (text if "\u03a3" in text or "\u0130" in text else text.lower()).split(" ")
         parts = text.split(" ")
         if not _ODD.search(text):
             return parts
@@ -72,18 +74,19 @@ class Encoder:
         b, at = ids.tobytes(), (4 * at).tolist()
         return [b[x:y] for x, y in zip([0, *at], at)]
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: set[str]) -> None:
         known = self.known
-        if self.space:  # a letters-only chunk and one mark after it are two pieces
-            cut = [c for c in new if c[-1:] in _MARKS and c[:-1].isalpha()]
-            new = list(set(new).difference(cut).union(c[:-1] for c in cut).difference(known))
-        odd = [c for c in new if not c or len(c) > LONGEST or (" " in c if self.space else _SPACE.search(c))]
+        # a letters-only chunk and one mark after it are two pieces
+        cut = [c for c in new if c[-1:] in _MARKS and c[:-1].isalpha()]
+        new = new.difference(cut).union([c[:-1] for c in cut]).difference(known)
+        odd = [c for c in new if not c or len(c) > LONGEST or " " in c]
+        if not self.space and _SPACE.search("".join(new)):
+            odd = list({*odd, *(c for c in new if _SPACE.search(c))})
         known.update(zip(odd, self._each([self.space + c if c else c for c in odd])))
-        rest = list(set(new).difference(odd)) if odd else new
-        for i in range(0, len(rest), 2000):
-            known.update(zip(rest[i : i + 2000], self._many(rest[i : i + 2000])))
-        if self.space:
-            known.update([(c, known[c[:-1]] + self._mark(c[-1])) for c in cut])
+        rest = list(new.difference(odd))
+        for i in range(0, len(rest), 4000):
+            known.update(zip(rest[i : i + 4000], self._many(rest[i : i + 4000])))
+        known.update([(c, known[c[:-1]] + self._mark(c[-1])) for c in cut])
 
     def _mark(self, c: str) -> bytes:
         if c not in self._marks:
@@ -101,7 +104,7 @@ class Encoder:
             new.update(c)
         new.difference_update(known)
         if new:
-            self._learn(list(new))
+            self._learn(new)
         get = known.__getitem__
         out = [h + b"".join(map(get, c)) for h, c in zip(heads, cut)]
         for c in [c for c in new if len(c) > LONGEST]:
