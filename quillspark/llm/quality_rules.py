@@ -84,15 +84,24 @@ def n_repeat_words(text: Column, width: int = 5) -> Column:
     return let(words(text), lambda w: let(hashes(w), lambda h: _covered(h, width))).cast("long")
 
 
-def default_rules(text: Column) -> dict[str, Column]:
-    """Name to rejecting condition. ``too_short`` and ``repeated_words`` are the base rules."""
+def default_rules(text: Column, known: dict[str, Column] | None = None) -> dict[str, Column]:
+    """Name to rejecting condition. ``too_short`` and ``repeated_words`` are the base rules.
+    ``known``: counts that are at hand already, by the names of this module's functions."""
+    known = known or {}
+    count = known.get("n_words", n_words(text))
+    chars = known.get("word_chars", word_chars(text))
+    marks = known.get("n_symbols", n_symbols(text))
+    if "n_repeat_words" in known:
+        repeated = F.lit(100) * known["n_repeat_words"] > F.lit(REPEAT_PERCENT) * count
+    else:
+        repeated = let(words(text), lambda w: F.lit(100) * n_repeat_words(text) > F.lit(REPEAT_PERCENT) * F.size(w))
     return {
-        "too_short": n_words(text) < MIN_WORDS,
-        "repeated_words": let(words(text), lambda w: F.lit(100) * n_repeat_words(text) > F.lit(REPEAT_PERCENT) * F.size(w)),
-        "symbols": F.lit(100) * n_symbols(text) > F.lit(SYMBOL_PERCENT) * n_words(text),
+        "too_short": count < MIN_WORDS,
+        "repeated_words": repeated,
+        "symbols": F.lit(100) * marks > F.lit(SYMBOL_PERCENT) * count,
         "duplicate_lines": let(lines(text), lambda x: F.lit(100) * (F.size(x) - F.size(F.array_distinct(x))) > F.lit(DUP_LINE_PERCENT) * F.size(x)),
-        "long_words": word_chars(text) > F.lit(MAX_MEAN_WORD) * n_words(text),
-        "shouting": F.lit(100) * (F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}+", ""))) > F.lit(UPPER_PERCENT) * word_chars(text),
+        "long_words": chars > F.lit(MAX_MEAN_WORD) * count,
+        "shouting": F.lit(100) * (F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}+", ""))) > F.lit(UPPER_PERCENT) * chars,
     }
 
 
@@ -130,15 +139,18 @@ def apply_rules(docs: DataFrame, text: str = "text", rules=default_rules, sample
     return docs.withColumn(name, cascade(rules(t), order))
 
 
-def rule_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each row's base counts and verdicts, with ``rejected_by``."""
-    d = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    d = apply_rules(d)
+def rule_report(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """Each row's base counts and verdicts, with ``rejected_by``. The counts are wanted for
+    every row, so the cascade takes them as they are and computes only what is left."""
     t = F.col("text")
-    d = d.select("doc_id", n_words(t).alias("n_words"), word_chars(t).alias("word_chars"), n_symbols(t).alias("n_symbols"),
-                 n_dup_lines(t).alias("n_dup_lines"), n_repeat_words(t).alias("n_repeat_words"), "rejected_by")
+    d = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    order = [x[0] for x in plan_cascade(d, default_rules(t), sample_rows)]
+    counts = {f.__name__: f(t) for f in (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)}
+    d = d.select("doc_id", "text", *(c.alias(k) for k, c in counts.items()))
+    named = {k: F.col(k) for k in counts}
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    return d.withColumn("base_failed", failed).withColumn("kept", ~failed & F.col("rejected_by").isNull())
+    d = d.select("doc_id", *counts, cascade(default_rules(t, named), order).alias("rejected_by"), failed.alias("base_failed"))
+    return d.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull())
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
