@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillspark.operators import tasks
+from quillspark.functions import textops
+from quillspark.operators import episodes, tasks
 
 FLAGSHIP = "partition_counts"
-_MODULES = [tasks]
+_MODULES = [tasks, textops, episodes]
 QUERIES: dict = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}
