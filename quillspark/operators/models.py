@@ -280,7 +280,7 @@ g AS (SELECT layer, count(*) AS n, sum((ra - rb) * (ra - rb))::BIGINT AS d2 FROM
     "prune_map": f"WITH {_T} SELECT layer, expert, row_number() OVER (PARTITION BY layer ORDER BY expert) - 1 AS new_id FROM t WHERE expert % 4 <> layer % 4",
     "memory_whatif": f"WITH {_T}, g AS (SELECT layer, sum(bytes) AS total, count(*) AS experts FROM t GROUP BY layer) SELECT layer, keep::BIGINT AS keep, floor(total * keep / experts)::BIGINT AS bytes FROM g, (VALUES (12), (10), (8)) v(keep)",
     "selection_compare": f"WITH {_MAPS} SELECT * FROM c",
-    "jaccard_hist": f"WITH {_MAPS}, j AS (SELECT CASE WHEN only_a + only_b = 0 THEN 'identical' WHEN "both" / ("both" + only_a + only_b) >= 0.75 THEN 'high' WHEN "both" / ("both" + only_a + only_b) >= 0.5 THEN 'medium' ELSE 'low' END AS bucket FROM c) SELECT b.bucket, count(j.bucket) AS n FROM (VALUES ('identical'), ('high'), ('medium'), ('low')) b(bucket) LEFT JOIN j USING (bucket) GROUP BY b.bucket",
+    "jaccard_hist": f"""WITH {_MAPS}, j AS (SELECT CASE WHEN only_a + only_b = 0 THEN 'identical' WHEN "both" / ("both" + only_a + only_b) >= 0.75 THEN 'high' WHEN "both" / ("both" + only_a + only_b) >= 0.5 THEN 'medium' ELSE 'low' END AS bucket FROM c) SELECT b.bucket, count(j.bucket) AS n FROM (VALUES ('identical'), ('high'), ('medium'), ('low')) b(bucket) LEFT JOIN j USING (bucket) GROUP BY b.bucket""",
     "pair_evidence": f"WITH {_MAPS} SELECT a.layer, CASE WHEN a.in_a AND b.in_a THEN 'kept' WHEN a.in_a OR b.in_a THEN 'split' ELSE 'dropped' END AS state, count(*) AS n FROM m a JOIN m b ON a.layer = b.layer AND a.expert = (b.expert + 1) % 16 GROUP BY ALL",
     "precision_ref": "WITH g AS (SELECT p_partkey % 10 AS layer, p_size % 4 * 2 + 2 AS bits, count(*) AS n FROM part GROUP BY ALL) SELECT layer, arg_min(bits, row(-n, bits))::BIGINT AS modal_bits, sum(n)::BIGINT AS projections FROM g GROUP BY layer",
     "lru_evict": f"WITH {_P} SELECT id, sum(bytes) OVER (PARTITION BY pool) - coalesce(sum(bytes) OVER (PARTITION BY pool ORDER BY la, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 100000 AS evict FROM p",
