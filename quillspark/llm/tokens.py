@@ -12,7 +12,7 @@ import re
 import numpy as np
 
 #: Chunks remembered at most, and the longest chunk that is remembered.
-MEMORY, LONGEST = 600_000, 64
+MEMORY, LONGEST = 1_000_000, 64
 _loaded: dict[tuple[str, bool], "Encoder"] = {}
 _ODD, _SPACE = re.compile(r" (?:\s|\Z)"), re.compile(r"\s")
 _MARKS = frozenset(",.;:!?")
@@ -102,7 +102,7 @@ class Encoder:
         new: set[str] = set()
         for c in cut:
             new.update(c)
-        new.difference_update(known)
+        new = new.difference(known)  # looks each of the new up, not each of the known
         if new:
             self._learn(new)
         get = known.__getitem__
