@@ -30,7 +30,7 @@ from quillspark.llm.blobs import read_blobs, write_blobs
 from quillspark.llm.tokens import encoder, groups
 
 END_ID = 2
-BLOCK, TABLE = 64 << 10, 16 << 20
+BLOCK, TABLE = 64 << 10, 8 << 20
 MAGIC = b"QSST0001"
 FOOTER = struct.Struct(">QQQQQQQ8s")  # documents, ids, index at, filter at, filter hashes, length, first key, magic
 INDEX = struct.Struct(">QQII")  # first key, place, length, checksum
@@ -223,7 +223,7 @@ def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_tables(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids): ``start`` counts the ids of all documents before."""
     files = read_blobs(spark, path)
-    # one row a table of up to 16 MB of ids: the only rows that meet in one task
+    # one row a table of up to 8 MB of ids: the only rows that meet in one task
     heads = files.mapInPandas(_footers, "path string, table int, first_key long, n_docs long, n_ids long")
     before = F.sum("n_ids").over(Window.orderBy("first_key", "path", "table").rowsBetween(Window.unboundedPreceding, -1))
     heads = scratch.stage(heads.select("path", "table", F.coalesce(before, F.lit(0)).alias("before")), "heads")

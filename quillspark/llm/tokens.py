@@ -12,7 +12,7 @@ import re
 import numpy as np
 
 #: Chunks remembered at most, and the longest chunk that is remembered.
-MEMORY, LONGEST = 1_000_000, 64
+MEMORY, LONGEST = 850_000, 64
 _loaded: dict[tuple[str, bool], "Encoder"] = {}
 _ODD, _SPACE = re.compile(r" (?:\s|\Z)"), re.compile(r"\s")
 _MARKS = frozenset(",.;:!?")
