@@ -128,7 +128,8 @@ def write_archives(pages: DataFrame, out: str) -> None:
     keys = captures(pages.select("page_id", "url", F.lit("").alias("html"))).select("urlkey", "ts", "page_id")
     firsts = keys.repartitionByRange(n, "urlkey", "ts", "page_id").groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("urlkey", "ts", "page_id")).alias("k"))
     bounds = sorted((r.k.urlkey, r.k.ts, r.k.page_id) for r in firsts.collect())[1:]  # one row a partition
-    runs = caps.select(*ROW).mapInPandas(_runs(bounds), "range_id int, run binary")
+    # staged: the join's shuffle files can go before the merge writes
+    runs = scratch.stage(caps.select(*ROW).mapInPandas(_runs(bounds), "range_id int, run binary"), "runs")
     blobs = runs.repartition(n, "range_id").sortWithinPartitions("range_id").mapInPandas(_merge, "segment string, blob binary")
     write_blobs(blobs, "blob", out, "segment")
 
