@@ -16,6 +16,7 @@ it gives. A null page id: the row is left out. Rows that repeat an id: the small
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import marshal
@@ -34,10 +35,8 @@ from quillspark.llm.merging import LoserTree
 MIN_REVISIT = 100
 #: A range's archive is cut into pieces of about this many bytes.
 PIECE = 8 << 20
-#: Stands for no original.
-NONE = -(1 << 62)
 EPOCH = datetime.datetime(2024, 1, 1)
-ROW = ["urlkey", "ts", "page_id", "url", "html", "digest", "original"]
+ROW = ["urlkey", "ts", "page_id", "url", "html", "digest"]
 
 
 def url_key(url: Column) -> Column:
@@ -61,18 +60,17 @@ def responses(caps: DataFrame) -> DataFrame:
     return big.groupBy("digest").agg(F.min("page_id").alias("original"), F.count("*").alias("n")).filter("n > 1").select("digest", "original")
 
 
-def _runs(bounds: list[tuple]):
-    import bisect
+def _runs(bounds: list[tuple], kind: int, columns: list[str]):
+    """Sorted runs of ``columns`` (first the key, page last of it), cut at the bounds."""
 
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             pdf = pdf.sort_values(["urlkey", "ts", "page_id"], ignore_index=True)
-            # the run's rows of a range, packed as one sorted block
-            keys = list(zip(pdf["urlkey"], pdf["ts"], pdf["page_id"]))
+            keys = zip(pdf["urlkey"].tolist(), pdf["ts"].tolist(), pdf["page_id"].tolist())
             pdf.insert(0, "range_id", [bisect.bisect_right(bounds, k) for k in keys])
             for r, block in pdf.groupby("range_id", sort=True):
-                rows = list(zip(*(block[c].tolist() for c in ROW)))
-                yield pd.DataFrame({"range_id": [r], "run": [zlib.compress(marshal.dumps(rows), 1)]})
+                rows = list(zip(*(block[c].tolist() for c in columns)))
+                yield pd.DataFrame({"range_id": [r], "kind": [kind], "run": [zlib.compress(marshal.dumps(rows), 1)]})
 
     return f
 
@@ -90,13 +88,17 @@ def record(page_id: int, url: str | None, ts: int, payload: bytes, digest: str,
     return c.compress("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n") + c.flush()
 
 
+#: Kinds of runs: which pages are revisits of which, and captures.
+REVISITS, CAPTURES = 0, 1
+
+
 def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows come by range, each a sorted run. One range's runs are merged at a time."""
 
-    def merged(r: int, runs: list[bytes]) -> Iterator[pd.DataFrame]:
+    def merged(r: int, original: dict[int, int], runs: list[bytes]) -> Iterator[pd.DataFrame]:
         out, size, piece = [], 0, 0
-        for _, ts, page, url, html, digest, original in LoserTree([marshal.loads(zlib.decompress(x)) for x in runs]):
-            out.append(record(page, url, ts, html.encode(), digest, None if original == NONE else original))
+        for _, ts, page, url, html, digest in LoserTree([marshal.loads(zlib.decompress(x)) for x in runs]):
+            out.append(record(page, url, ts, html.encode(), digest, original.get(page)))
             size += len(out[-1])
             if size >= PIECE:
                 yield pd.DataFrame({"segment": [f"{r:07d}-{piece:05d}"], "blob": [b"".join(out)]})
@@ -104,32 +106,36 @@ def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if out:
             yield pd.DataFrame({"segment": [f"{r:07d}-{piece:05d}"], "blob": [b"".join(out)]})
 
-    now, held = None, []
+    now, original, held = None, {}, []
     for pdf in batches:
-        for r, run in zip(pdf["range_id"], pdf["run"]):
+        for r, kind, run in zip(pdf["range_id"].tolist(), pdf["kind"].tolist(), pdf["run"]):
             if now is not None and r != now:
-                yield from merged(now, held)
-                held = []
+                yield from merged(now, original, held)
+                original, held = {}, []
             now = r
-            held.append(run)
+            if kind == REVISITS:
+                original.update(marshal.loads(zlib.decompress(run)))
+            else:
+                held.append(run)
     if held:
-        yield from merged(now, held)
+        yield from merged(now, original, held)
 
 
 def write_archives(pages: DataFrame, out: str) -> None:
     spark = pages.sparkSession
     scratch.small_batches(spark, 2000)
     caps = captures(pages)
-    caps = caps.join(responses(caps), "digest", "left")
-    # a null would turn the column into floats in pandas
-    caps = caps.withColumn("original", F.coalesce(F.when(F.octet_length("html") >= MIN_REVISIT, F.col("original")), F.lit(NONE)))
     # range bounds: the first key of each of Spark's range partitions of the keys alone
     n = scratch.parts(spark)
     keys = captures(pages.select("page_id", "url", F.lit("").alias("html"))).select("urlkey", "ts", "page_id")
     firsts = keys.repartitionByRange(n, "urlkey", "ts", "page_id").groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("urlkey", "ts", "page_id")).alias("k"))
     bounds = sorted((r.k.urlkey, r.k.ts, r.k.page_id) for r in firsts.collect())[1:]  # one row a partition
-    runs = caps.select(*ROW).mapInPandas(_runs(bounds), "range_id int, run binary")
-    blobs = runs.repartition(n, "range_id").sortWithinPartitions("range_id").mapInPandas(_merge, "segment string, blob binary")
+    # payloads cross once, with their captures; who revisits whom is settled on the index alone
+    index = caps.filter(F.octet_length("html") >= MIN_REVISIT).select("urlkey", "ts", "page_id", "digest")
+    again = index.join(responses(caps), "digest").filter("page_id <> original").select("urlkey", "ts", "page_id", "original")
+    schema = "range_id int, kind int, run binary"
+    runs = caps.select(*ROW).mapInPandas(_runs(bounds, CAPTURES, ROW), schema).unionByName(again.mapInPandas(_runs(bounds, REVISITS, ["page_id", "original"]), schema))
+    blobs = runs.repartition(n, "range_id").sortWithinPartitions("range_id", "kind").mapInPandas(_merge, "segment string, blob binary")
     write_blobs(blobs, "blob", out, "segment")
 
 
