@@ -61,6 +61,43 @@ def freed_until(pool: DataFrame, key: str, order: list, target: Column, name: st
     return pool.withColumn(name, (target > 0) & (before < target))
 
 
+def build_plan(tensors: DataFrame, kept: DataFrame, low: DataFrame) -> DataFrame:
+    """Each tensor's action, new name and bytes. ``tensors`` (name, layer, expert, shard, bytes, values);
+    ``kept`` (layer, expert, new_id); ``low`` (layer, expert): packed to 3 bits. Tensors without
+    an expert are copied; an expert's tensor that ``kept`` lacks is dropped."""
+    k = kept.select("layer", "expert", "new_id")
+    q = low.select("layer", "expert", F.lit(True).alias("_q"))
+    t = tensors.join(k, ["layer", "expert"], "left").join(q, ["layer", "expert"], "left")
+    action = F.when(F.col("expert").isNull(), "copy").when(F.col("new_id").isNull(), "drop").when(F.col("_q"), "affine").otherwise("copy")
+    out = F.when(F.col("new_id").isNull(), F.col("name")).otherwise(F.concat_ws(".", F.lit("layer"), "layer", F.lit("expert"), "new_id"))
+    size = F.when(F.col("action") == "drop", 0).when(F.col("action") == "affine", F.floor(F.col("values") * 3 / 8)).otherwise(F.col("bytes"))
+    return t.withColumn("action", action).withColumn("out_name", out).withColumn("out_bytes", size.cast("long")).drop("_q", "new_id")
+
+
+def shard_offsets(plan: DataFrame) -> DataFrame:
+    """Kept tensors with their offsets in their shard, in the order of names."""
+    w = Window.partitionBy("shard").orderBy("out_name").rowsBetween(Window.unboundedPreceding, -1)
+    return plan.filter("action <> 'drop'").withColumn("offset", F.coalesce(F.sum("out_bytes").over(w), F.lit(0)))
+
+
+def swap_descent(weights: dict[tuple[int, int], float], experts: int, chosen: list[int], passes: int = 8) -> list[int]:
+    """Lower the total pairwise weight of ``chosen`` by single swaps, each the best strict gain, to
+    a local optimum. A heuristic for more experts than exhaustive selection takes."""
+    pair = lambda a, b: weights.get((a, b), 0.0) + weights.get((b, a), 0.0)
+    alone = lambda x, rest: weights.get((x, x), 0.0) + sum(pair(x, j) for j in rest)
+    now = set(chosen)
+    for _ in range(passes):
+        moved = False
+        for x in sorted(now):
+            rest = now - {x}
+            y = min(sorted(set(range(experts)) - now), key=lambda c: alone(c, rest), default=x)
+            if alone(y, rest) < alone(x, rest):
+                now, moved = rest | {y}, True
+        if not moved:
+            break
+    return sorted(now)
+
+
 # --- queries ------------------------------------------------------------------------------
 
 EXPERTS, ACTIVE = 16, 4
@@ -127,6 +164,12 @@ def q_component_totals(spark, d):
     return _tensors(spark, d).rollup("layer").agg(F.sum("bytes").alias("bytes"), F.sum("tensors").alias("tensors"))
 
 
+def q_build_plan(spark, d):
+    t = _tensors(spark, d).select("layer", "expert", F.concat_ws(".", F.lit("t"), "layer", "expert").alias("name"), (F.col("layer") % 3).alias("shard"), "bytes", F.col("tensors").alias("values"))
+    low = t.filter("expert % 5 = 0").select("layer", "expert")
+    return shard_offsets(build_plan(t, q_prune_map(spark, d), low)).select("name", "out_name", "action", "shard", "out_bytes", "offset")
+
+
 def q_closure(spark, d):
     t = _tensors(spark, d)
     drop = F.col("expert") % 4 == F.col("layer") % 4
@@ -276,6 +319,9 @@ q AS (SELECT *, max(objective) OVER (PARTITION BY layer) AS best FROM o JOIN l U
     "convergence": f"""WITH {_R}, a AS (SELECT layer, i, row_number() OVER (PARTITION BY layer ORDER BY count(*) DESC, i) AS ra FROM k WHERE token % 2 = 0 GROUP BY layer, i), b AS (SELECT layer, i, row_number() OVER (PARTITION BY layer ORDER BY count(*) DESC, i) AS rb FROM k GROUP BY layer, i),
 g AS (SELECT layer, count(*) AS n, sum((ra - rb) * (ra - rb))::BIGINT AS d2 FROM b JOIN a USING (layer, i) GROUP BY layer) SELECT layer, n, d2, CASE WHEN n > 1 THEN 1 - 6 * d2 / (n * (n * n - 1)) END AS rho FROM g""",
     "component_totals": f"WITH {_T} SELECT layer, sum(bytes)::BIGINT AS bytes, sum(tensors)::BIGINT AS tensors FROM t GROUP BY ROLLUP (layer)",
+    "build_plan": f"""WITH {_T}, k AS (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY expert) - 1 AS new_id FROM t WHERE expert % 4 <> layer % 4),
+p AS (SELECT 't.' || layer || '.' || expert AS name, 'layer.' || layer || '.expert.' || new_id AS out_name, CASE WHEN expert % 5 = 0 THEN 'affine' ELSE 'copy' END AS action, layer % 3 AS shard, CASE WHEN expert % 5 = 0 THEN floor(tensors * 3 / 8)::BIGINT ELSE bytes END AS out_bytes FROM k)
+SELECT *, coalesce(sum(out_bytes) OVER (PARTITION BY shard ORDER BY out_name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offset FROM p""",
     "closure": f"WITH {_T} SELECT layer, coalesce(sum(bytes) FILTER (WHERE expert % 4 <> layer % 4), 0)::BIGINT AS kept, coalesce(sum(bytes) FILTER (WHERE expert % 4 = layer % 4), 0)::BIGINT AS dropped, sum(bytes)::BIGINT AS total, true AS closes FROM t GROUP BY layer",
     "prune_map": f"WITH {_T} SELECT layer, expert, row_number() OVER (PARTITION BY layer ORDER BY expert) - 1 AS new_id FROM t WHERE expert % 4 <> layer % 4",
     "memory_whatif": f"WITH {_T}, g AS (SELECT layer, sum(bytes) AS total, count(*) AS experts FROM t GROUP BY layer) SELECT layer, keep::BIGINT AS keep, floor(total * keep / experts)::BIGINT AS bytes FROM g, (VALUES (12), (10), (8)) v(keep)",

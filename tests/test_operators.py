@@ -129,3 +129,13 @@ def test_streams(spark, tmp_path):
     assert {r.group_id: r.n for r in incremental.merged(spark, out + "/n", ["group_id"], "n").collect()} == {"a": 1, "b": 7, "c": 7}
     placed = spark.read.parquet(out + "/p")
     assert sorted(r.group_id for r in placed.collect()) == ["a", "b", "c"]
+
+
+def test_swap_descent_reaches_a_local_optimum():
+    rng = random.Random(8)
+    for _ in range(30):
+        w = {(i, j): rng.randrange(10) for i in range(10) for j in range(10)}
+        cost = lambda c: sum(w[i, j] for i in c for j in c)
+        got = models.swap_descent(w, 10, [0, 1, 2, 3], passes=50)
+        assert cost(got) <= cost([0, 1, 2, 3]) and len(got) == 4
+        assert all(cost((set(got) - {x}) | {y}) >= cost(got) for x in got for y in set(range(10)) - set(got))
