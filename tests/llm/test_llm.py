@@ -157,6 +157,16 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs(spark, rows), b.limit(0)).count() == 0
 
 
+def test_decontamination_accepts_a_fifth_of_edits(spark):
+    item = " ".join("alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike november oscar papa".split())
+    changed = list(item)
+    for p in range(60, 60 + int(0.18 * len(item))):  # 18 % in one place: every key of the rest still agrees
+        changed[p] = "#"
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontaminate.contaminated(docs(spark, [(1, "before it " + "".join(changed) + " after it"), (2, "nothing here")]), b).collect()
+    assert [(r.doc_id, r.item_id, r.edits) for r in got] == [(1, 1, int(0.18 * len(item)))]
+
+
 def test_edit_distance():
     rng = random.Random(2)
 
