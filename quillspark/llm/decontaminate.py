@@ -6,9 +6,10 @@ alone. Two strings at a small edit distance fall back into step, so their embedd
 a small Hamming distance. Some of an embedding's positions, sampled, make a key; several
 keys from several walks are looked up, and a true match meets the item in one of them.
 
-Windows of a text begin at every ``STRIDE``-th word; an item is indexed from each of its
-words on, so that any passage of an item's size holds many windows that can meet it. Each
-candidate is settled exactly: the least edit distance between the item and any substring of
+Windows of a text begin at every word; an item is indexed from each of its words on, so
+that any passage of an item's size holds many windows that can meet it. Short items have
+further, shorter keys. The search can still miss a passage; the README gives its recall. Each
+candidate is settled exactly (counts of pieces and distances of parts first, which drop no match): the least edit distance between the item and any substring of
 the text around it must be at most ``EDITS`` of the item's length.
 
 Texts are compared lower-cased with runs of white space as one space; distances count UTF-8
@@ -36,14 +37,16 @@ from quillspark.llm import scratch
 
 EDITS = 0.2
 SHORT = 40
-STRIDE = 2
-#: Steps of each walk with the positions that its keys sample. The shorter spans serve
-#: items with many edits, the longer ones tell common phrases apart.
-STEPS, WALKS, KEYS, SAMPLE = (48, 48), 2, 4, 12
-#: Length of the pieces that are counted before a distance is computed.
-PIECE = 4
+#: Steps of each walk, and its keys: (sampled positions, steps they lie in, longest item that
+#: is looked up by it). The shorter keys serve short items, which have few words to meet at.
+STEPS, WALKS = 48, 2
+KEYS = [(12, 30, 1 << 30), (12, 36, 1 << 30), (12, 42, 1 << 30), (12, 48, 1 << 30), (10, 20, 180), (8, 14, 64), (6, 10, 64)]
+#: Length of the pieces that are counted before a distance is computed, and bits of their names.
+PIECE, NAME = 4, 12
 BLOCK_ITEMS = 20_000
-CHUNK = 4 << 20
+CHUNK = 8 << 20
+#: Windows that are embedded at once, and candidates whose distances are computed at once.
+LANES, PAIRS = 1 << 15, 1 << 11
 
 
 class Plan:
@@ -51,27 +54,26 @@ class Plan:
 
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.bits = [rng.integers(0, 2, (STEPS[w], 256), dtype=np.int32) for w in range(WALKS)]
-        self.keys = []
-        for w in range(WALKS):
-            spans = np.linspace(STEPS[w] * 5 // 8, STEPS[w], KEYS).astype(int)
-            self.keys.append([set(rng.choice(s, SAMPLE, replace=False).tolist()) for s in spans])
+        self.bits = [rng.integers(0, 2, (STEPS, 256), dtype=np.int32) for _ in range(WALKS)]
+        self.keys = [[set(rng.choice(span, n, replace=False).tolist()) for n, span, _ in KEYS] for _ in range(WALKS)]
 
     def embed(self, buf: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
         """A key for each table of windows of ``buf`` (padded) that begin at ``start``."""
-        out = []
-        for w in range(WALKS):
-            at = start.astype(np.int32)
-            h = [np.full(len(start), k + 1 + w * KEYS, np.uint32) for k in range(KEYS)]
-            for j in range(STEPS[w]):
-                c = buf[at]
-                for k in range(KEYS):
-                    if j in self.keys[w][k]:
-                        h[k] *= np.uint32(0x01000193)
-                        h[k] ^= c
-                        h[k] *= np.uint32(0x85EBCA6B)
-                at += self.bits[w][j][c]
-            out += h
+        out = [np.empty(len(start), np.uint32) for _ in range(WALKS * len(KEYS))]
+        for lo in range(0, len(start), LANES):
+            for w in range(WALKS):
+                at = start[lo : lo + LANES].astype(np.int32)
+                h = [np.full(len(at), k + 1 + w * len(KEYS), np.uint32) for k in range(len(KEYS))]
+                for j in range(STEPS):
+                    c = buf[at]
+                    for k in range(len(KEYS)):
+                        if j in self.keys[w][k]:
+                            h[k] *= np.uint32(0x01000193)
+                            h[k] ^= c
+                            h[k] *= np.uint32(0x85EBCA6B)
+                    at += self.bits[w][j][c]
+                for k in range(len(KEYS)):
+                    out[w * len(KEYS) + k][lo : lo + LANES] = h[k]
         return out
 
 
@@ -109,8 +111,84 @@ def distance(item: bytes, text: bytes) -> int:
     return best
 
 
-def pieces(t: bytes) -> set[bytes]:
-    return {t[i : i + PIECE] for i in range(len(t) - PIECE + 1)}
+def names(buf: np.ndarray) -> np.ndarray:
+    """A short name of the piece at each place; equal pieces have equal names."""
+    b, h = buf.astype(np.uint32), np.zeros(max(0, len(buf) - PIECE + 1), np.uint32)
+    for j in range(PIECE):
+        h = (h ^ b[j : j + len(h)]) * np.uint32(0x9E3779B1)
+        h ^= h >> np.uint32(15)
+    return (h >> np.uint32(32 - NAME)).astype(np.uint16)
+
+
+def enough(items: list[bytes], allowed: np.ndarray, which: np.ndarray, buf: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Whether so many of an item's pieces lie in ``buf[lo:hi]`` that its distance can be allowed:
+    an edit spoils at most PIECE of them. Never false for a match."""
+    out = np.empty(len(which), bool)
+    name, order = names(buf), np.argsort(which, kind="stable")
+    used, first = np.unique(which[order], return_index=True)
+    for k, a, b in zip(used.tolist(), first.tolist(), [*first[1:].tolist(), len(which)]):
+        own = names(np.frombuffer(items[k], np.uint8))
+        need = len(own) - PIECE * int(allowed[k])
+        for i in range(a, b, 512):
+            part = order[i : min(b, i + 512)]
+            at = lo[part, None] + np.arange(int((hi[part] - lo[part]).max()))
+            there = np.zeros((len(part), (1 << NAME) + 1), np.uint8)
+            there[np.arange(len(part))[:, None], np.where(at <= hi[part, None] - PIECE, name[np.minimum(at, len(name) - 1)], 1 << NAME)] = 1
+            out[part] = there[:, own].sum(1, dtype=np.int64) >= need
+    return out
+
+
+def distances(items: list[bytes], which: np.ndarray, buf: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """``distance`` of ``items[which]`` and ``buf[lo:hi]`` for many pairs at once, in words of 64 bits."""
+    out = np.empty(len(which), np.int64)
+    words = np.array([-(-len(t) // 64) for t in items], np.int64)[which]
+    order = np.lexsort((hi - lo, words))
+    for x in np.unique(words).tolist():
+        own = order[words[order] == x]
+        for i in range(0, len(own), PAIRS):
+            part = own[i : i + PAIRS]
+            out[part] = _distances(items, which[part], buf, lo[part], hi[part], x)
+    return out
+
+
+def _distances(items: list[bytes], which: np.ndarray, buf: np.ndarray, lo: np.ndarray, hi: np.ndarray, words: int) -> np.ndarray:
+    used, row = np.unique(which, return_inverse=True)
+    where = np.zeros((words, len(used) * 257), np.uint64)  # the last column stands for the end of a text
+    for r, k in enumerate(used.tolist()):
+        t = np.frombuffer(items[k], np.uint8).astype(np.int64)
+        i = np.arange(len(t))
+        np.bitwise_or.at(where, (i >> 6, r * 257 + t), np.uint64(1) << (i & 63).astype(np.uint64))
+    m = np.array([len(items[k]) for k in used.tolist()])[row]
+    top, one = ((m - 1) & 63).astype(np.uint64), np.uint64(1)
+    score, base, n = m.copy(), row * 257, hi - lo
+    best = score.copy()
+    up = [np.full(len(m), ~np.uint64(0)) for _ in range(words)]
+    down = [np.zeros(len(m), np.uint64) for _ in range(words)]
+    none = np.zeros(len(m), np.uint64)
+    for j in range(int(n.max())):
+        at = base + np.where(j < n, buf[np.minimum(lo + j, len(buf) - 1)], 256)
+        more = less = none
+        for w in range(words):
+            eq = where[w].take(at)
+            u, d = up[w], down[w]
+            xv = eq | d
+            eq |= less
+            xh = eq & u
+            xh += u
+            xh ^= u
+            xh |= eq
+            p, q = ~(xh | u), u & xh
+            p |= d
+            if w == words - 1:
+                score += (p >> top & one).astype(np.int64) - (q >> top & one).astype(np.int64)
+            p2, q2 = p << one, q << one
+            p2 |= more
+            q2 |= less
+            more, less = p >> np.uint64(63), q >> np.uint64(63)
+            up[w] = q2 | ~(xv | p2)
+            down[w] = p2 & xv
+        np.minimum(best, score, out=best)
+    return best
 
 
 class Index:
@@ -120,34 +198,52 @@ class Index:
         self.plan = Plan()
         self.items = [(i, t) for i, t in items if len(t) >= SHORT]
         self.short = [(i, t, re.compile(rb"(?<!\S)" + re.escape(t) + rb"(?!\S)")) for i, t in items if 0 < len(t) < SHORT]
-        self.pieces = [[t[i : i + PIECE] for i in range(len(t) - PIECE + 1)] for _, t in self.items]
-        pad = bytes(max(STEPS))
-        starts, self.item, self.offset, at = [], [], [], 0
+        pad = bytes(STEPS)
+        starts, item, offset, left, at = [], [], [], [], 0
         for k, (_, t) in enumerate(self.items):
             for m in re.finditer(rb"\S+", t):
-                if m.start() == 0 or len(t) - m.start() >= SHORT * 3 // 4:
-                    starts.append(at + m.start())
-                    self.item.append(k)
-                    self.offset.append(m.start())
+                starts.append(at + m.start())
+                item.append(k)
+                offset.append(m.start())
+                left.append(len(t) - m.start())
             at += len(t) + len(pad)
+        self.item, self.offset, left = np.array(item, np.int64), np.array(offset, np.int64), np.array(left, np.int64)
+        self.size = np.array([len(t) for _, t in self.items], np.int64)
+        self.allowed = np.array([int(EDITS * len(t)) for _, t in self.items], np.int64)
         buf = np.frombuffer(pad.join([*(t for _, t in self.items), b""]) + pad, np.uint8)
         self.tables = []
-        for h in self.plan.embed(buf, np.array(starts, np.int64)):
-            order = np.argsort(h, kind="stable")
+        for k, h in enumerate(self.plan.embed(buf, np.array(starts, np.int64))):
+            _, span, longest = KEYS[k % len(KEYS)]
+            if not len(h):
+                break
+            own = np.flatnonzero((self.size[self.item] <= longest) & ((self.offset == 0) | (left >= span)))
+            own = own[np.argsort(h[own], kind="stable")]
             seen = np.zeros(1 << 22, bool)
-            seen[h & np.uint32((1 << 22) - 1)] = True
-            self.tables.append((h[order], order, seen))
+            seen[h[own] & np.uint32((1 << 22) - 1)] = True
+            self.tables.append((h[own], own, seen))
 
-    def candidates(self, buf: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(window, item, offset) of windows whose key is an item's."""
+    def candidates(self, buf: np.ndarray, start: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(window, place in the index) of windows whose key is an item's, by table."""
         if not self.items or not len(start):
             return
         for h, (keys, order, seen) in zip(self.plan.embed(buf, start), self.tables):
             hit = np.flatnonzero(seen[h & np.uint32((1 << 22) - 1)])
             lo, hi = np.searchsorted(keys, h[hit]), np.searchsorted(keys, h[hit], side="right")
-            for w, a, b in zip(hit[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
-                for o in order[a:b].tolist():
-                    yield w, self.item[o], self.offset[o]
+            n = hi - lo
+            yield np.repeat(hit, n), order[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+    def near(self, k: np.ndarray, buf: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The pairs left when the distances of an item's 64-byte parts, each to the text around
+        its own place, are added up: more than is allowed is no match there."""
+        left, spent = np.arange(len(k)), np.zeros(len(k), np.int64)
+        for w in range(0, int(self.size[k].max(initial=0)), 64):
+            part = [t[w : w + 64] for _, t in self.items]
+            x = left[(self.size[k[left]] > w) & (self.size[k[left]] > 64)]
+            begin = np.clip(at[x] + w - self.allowed[k[x]], lo[x], hi[x])
+            end = np.clip(at[x] + w + 96 + self.allowed[k[x]], begin, hi[x])
+            spent[x] += distances(part, k[x], buf, begin, end)
+            left = left[spent[left] <= self.allowed[k[left]]]
+        return left
 
     def search(self, ids: list[int], docs: list[bytes]) -> list[tuple[int, int, int]]:
         """(document, item, edits) of every match."""
@@ -156,37 +252,37 @@ class Index:
             for item, _, pattern in self.short:
                 if pattern.search(t):
                     found[i, item] = 0
-        buf = np.frombuffer(b" ".join([b"", *docs]) + b" " + bytes(max(STEPS)), np.uint8)
+        buf = np.frombuffer(b" ".join([b"", *docs]) + b" " + bytes(STEPS), np.uint8)
         space = buf == 0x20
         start = np.flatnonzero(space[:-1] & ~space[1:]) + 1
         ends = np.cumsum([len(d) + 1 for d in docs])
         doc = np.searchsorted(ends, start, side="right")
         keep = doc < len(docs)
         start, doc = start[keep], doc[keep]
-        # every STRIDE-th word of its document
-        first = np.searchsorted(doc, np.arange(len(docs)))
-        keep = (np.arange(len(doc)) - first[doc]) % STRIDE == 0
-        start, doc = start[keep], doc[keep]
-        tried: dict[tuple[int, int], set[int]] = {}
-        for w, k, off in self.candidates(buf, start):
-            d = int(doc[w])
-            item, t = self.items[k]
-            allowed = int(EDITS * len(t))
-            key, at = (ids[d], item), int(start[w]) - 1 - (int(ends[d - 1]) if d else 0) - off
-            if found.get(key) == 0 or at >> 4 in tried.setdefault(key, set()):
-                continue
-            tried[key].add(at >> 4)
-            text = docs[d][max(0, at - allowed - 16) : at + len(t) + allowed + 16]
-            if t in text:
-                found[key] = 0
-                continue
-            # an edit spoils at most PIECE pieces; with fewer left the distance is too large
-            there = pieces(text)
-            if sum(x in there for x in self.pieces[k]) < len(self.pieces[k]) - allowed * PIECE:
-                continue
-            n = distance(t, text)
-            if n <= allowed and n < found.get(key, 1 << 30):
-                found[key] = n
+        # places of candidates, in steps of 32 bytes; each is settled once
+        met = [np.zeros(0, np.int64)]
+        span = (len(buf) >> 5) + 2 + (int(self.size.max()) >> 5 if self.items else 0)
+        for w, o in self.candidates(buf, start):
+            at = (start[w] - self.offset[o] >> 5) + span
+            met.append((doc[w] * len(self.items) + self.item[o]) * 2 * span + at)
+        tried = np.sort(np.concatenate(met))
+        tried = tried[np.diff(tried, prepend=-1) > 0]
+        if not len(tried):
+            return [(i, item, n) for (i, item), n in found.items()]
+        pair, at = tried // (2 * span), (tried % (2 * span) - span) << 5
+        d, k = pair // len(self.items), pair % len(self.items)
+        first = ends - [len(x) + 1 for x in docs] + 1
+        lo = np.maximum(first[d], at - self.allowed[k])
+        hi = np.minimum(ends[d], at + 32 + self.size[k] + self.allowed[k])
+        texts, hi = [t for _, t in self.items], np.maximum(lo, hi)
+        keep = enough(texts, self.allowed, k, buf, lo, hi)
+        d, k, lo, hi, at = d[keep], k[keep], lo[keep], hi[keep], at[keep]
+        keep = self.near(k, buf, at, lo, hi)
+        d, k, lo, hi = d[keep], k[keep], lo[keep], hi[keep]
+        n = distances(texts, k, buf, lo, hi)
+        for x in np.flatnonzero(n <= self.allowed[k]).tolist():
+            key = ids[d[x]], self.items[k[x]][0]
+            found[key] = min(found.get(key, 1 << 30), int(n[x]))
         return [(i, item, n) for (i, item), n in found.items()]
 
 

@@ -167,6 +167,31 @@ def test_decontamination_accepts_a_fifth_of_edits(spark):
     assert [(r.doc_id, r.item_id, r.edits) for r in got] == [(1, 1, int(0.18 * len(item)))]
 
 
+def test_decontamination_meets_short_items():
+    rng = random.Random(11)
+    syl = "the and ing er ous tion re in th ea".split()
+    for size in (45, 85, 110, 150):
+        items = [(k, " ".join("".join(rng.choice(syl) for _ in range(rng.randrange(1, 4))) for _ in range(60))[:size].strip().encode()) for k in range(100)]
+        texts = [b"some words " + noisy(rng, t.decode(), 0.2).encode() + b" more words" for _, t in items]
+        want = {(k, k) for k, t in items if decontaminate.distance(t, texts[k]) <= decontaminate.EDITS * len(t)}
+        got = {(i, k): n for i, k, n in decontaminate.Index(items).search(list(range(100)), texts)}
+        assert len(want & set(got)) >= 0.96 * len(want) and all(n <= decontaminate.EDITS * len(items[k][1]) for (_, k), n in got.items())
+
+
+def test_many_distances():
+    rng = random.Random(4)
+    for _ in range(100):
+        items = [bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 200))) for _ in range(3)]
+        t = bytes(rng.choice(b"abc") for _ in range(300))
+        lo = np.array([rng.randrange(100) for _ in items])
+        hi = lo + np.array([rng.randrange(200) for _ in items])
+        which = np.arange(3)
+        want = np.array([decontaminate.distance(x, t[a:b]) for x, a, b in zip(items, lo, hi)])
+        buf = np.frombuffer(t, np.uint8)
+        assert (decontaminate.distances(items, which, buf, lo, hi) == want).all()
+        assert decontaminate.enough(items, want, which, buf, lo, hi).all()
+
+
 def test_edit_distance():
     rng = random.Random(2)
 
