@@ -21,7 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links connect: the one with the smallest id."""
     ship(spark)
-    comp = ngram_join.jaccard_components(docs).filter("component_id = doc_id").select("doc_id")
+    comp = ngram_join.jaccard_components(docs, count_links=False).filter("component_id = doc_id").select("doc_id")
     return docs.join(comp, "doc_id", "left_semi").select(*docs.columns)
 
 

@@ -17,6 +17,9 @@ and labels each document with the smallest id that links reach.
    components' members. So a group of copies costs its size, not its square.
 4. The order is cut into fragments. Partial overlaps of a candidate pair are counted in
    each fragment separately and summed per pair; the sum decides.
+5. A document's links all lie in its component, so they are counted there, exactly: a
+   component's sets are dealt into blocks, and each two blocks are compared as a whole. This
+   is the square of a component's distinct sets, in as many tasks as it has pairs of blocks.
 
 Defined cases: null or wordless text: empty set, no link, its own component. Fewer than
 five words: the whole sequence is the one shingle. A null id: the row is left out. Rows
@@ -39,6 +42,8 @@ from quillspark.llm import scratch
 from quillspark.llm.components import components
 
 FRAGMENTS = 8
+#: Sets in a block, and n-grams that are compared at once.
+BLOCK, GRAMS = 512, 4096
 SET_SCHEMA = "doc_id long, n_shingles long, d1 long, d2 long, hs array<long>"
 
 
@@ -122,10 +127,56 @@ def _links(pairs: DataFrame, segs: DataFrame, percent: int) -> DataFrame:
     return total.filter(F.expr(f"(100 + {percent}) * k >= {percent} * (na + nb)")).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
+def _degrees(percent: int):
+    def count(rep: np.ndarray, n: np.ndarray, size: np.ndarray, block: np.ndarray, hs: list) -> Iterator[tuple[int, int]]:
+        h = np.concatenate(hs)
+        row = np.repeat(np.arange(len(hs)), [len(x) for x in hs])
+        _, name, df = np.unique(h, return_inverse=True, return_counts=True)
+        row, name = row[df[name] > 1], (np.cumsum(df > 1) - 1)[name[df[name] > 1]]
+        order = np.argsort(name, kind="stable")
+        row, name = row[order], name[order]
+        x, y = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+        common = np.zeros((len(x), len(y)), np.float32)  # whole numbers under 2 ** 24
+        for lo in range(0, int(name[-1]) + 1 if len(name) else 0, GRAMS):
+            a, b = np.searchsorted(name, [lo, lo + GRAMS])
+            has = np.zeros((len(hs), int(name[b - 1]) - lo + 1), np.float32)
+            has[row[a:b], name[a:b] - lo] = 1
+            common += has[x] @ has[y].T
+        link = (100 + percent) * common.astype(np.int64) >= percent * (n[x, None] + n[y])
+        link &= rep[x, None] != rep[y]
+        yield from zip(rep[x].tolist(), (link @ size[y]).tolist())
+        if block.min() != block.max():
+            yield from zip(rep[y].tolist(), (size[x] @ link).tolist())
+
+    def f(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, c in pdf.groupby("component", sort=False):
+            if c["x"].iloc[0] == c["y"].iloc[0] or c["block"].nunique() == 2:  # else one of the two is empty
+                out += count(*(c[k].to_numpy() for k in ("rep", "n", "size", "block")), c["hs"].tolist())
+        return pd.DataFrame(out, columns=["rep", "n_links"])
+
+    return f
+
+
+def link_counts(member: DataFrame, reps: DataFrame, comp: DataFrame, percent: int = 75) -> DataFrame:
+    """(rep, n_links): for each class, the documents of other classes that link with it."""
+    n = 8 * scratch.parts(reps.sparkSession)
+    every = comp.select(F.col("node").alias("rep"), "component")
+    many = every.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    each = reps.join(every, "rep").join(many, "component").join(member.groupBy("rep").agg(F.count("*").alias("size")), "rep")
+    each = each.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    # components of one block share groups; others have one for each two blocks
+    each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = each.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
+    each = each.withColumn("many", F.col("blocks") > 1).withColumn("g", F.when(F.col("many"), F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(n))))
+    counted = each.groupBy("many", "g", "x", "y").applyInPandas(_degrees(percent), "rep long, n_links long")
+    return counted.groupBy("rep").agg(F.sum("n_links").alias("n_links"))
+
+
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75, count_links: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id, n_links): class_id is the smallest id
-    with an equal set; n_links counts the links found for the class's set (one spanning
-    set of links for large groups)."""
+    with an equal set; n_links counts the other documents that the document links with,
+    those with an equal set too. Without ``count_links`` that column is left out."""
     all_sets = scratch.stage(shingle_sets(docs, key, text, width, percent), "sets")
     sets = all_sets.filter("hs is not null")
     classes = sets.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
@@ -161,12 +212,15 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     every = links.unionByName(links2)
     if not links2.isEmpty():
         comp = components(every, "a", "b")
-    degree = every.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    label = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left").select(
-        "doc_id", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component"), "n_links")
-    return all_sets.select("doc_id", "n_shingles").join(label, "doc_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
-        F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    label = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component"))
+    out = all_sets.select("doc_id", "n_shingles").join(label, "doc_id", "left").select(
+        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    if not count_links:
+        return out
+    same = member.groupBy("rep").agg((F.count("*") - 1).alias("same"))
+    degree = same.join(link_counts(member, reps, comp, percent), "rep", "left")
+    degree = degree.select(F.col("rep").alias("class_id"), (F.col("same") + F.coalesce("n_links", F.lit(0))).alias("n_links"))
+    return out.join(degree, "class_id", "left").select(*out.columns, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -69,6 +69,23 @@ def test_join_equals_brute_force(spark, corpus):
     assert got == {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+def test_join_counts_every_link(spark, corpus, monkeypatch):
+    words = [f"w{k}" for k in range(60)]
+    copies = [(100000 + k, " ".join(words[:k] + [f"x{k}"] + words[k + 1 :])) for k in range(0, 60, 3)]
+    rows = [*corpus, *copies, (200000, copies[1][1]), (200001, copies[1][1].upper())]
+    sets = shingle_sets(rows)
+    want = dict.fromkeys(sets, 0)
+    for a, b in itertools.combinations(sorted(sets), 2):
+        k = len(sets[a] & sets[b])
+        if k and 100 * k >= 75 * len(sets[a] | sets[b]):
+            want[a] += 1
+            want[b] += 1
+    for block in (512, 7):  # in one block, and in several
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
+        got = {r.doc_id: r.n_links for r in ngram_join.jaccard_components(docs(spark, rows)).collect()}
+        assert got == want
+
+
 def test_join_edges(spark):
     assert ngram_join.jaccard_components(empty(spark)).count() == 0
     got = ngram_join.jaccard_components(docs(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (None, "x"), (2, None)])).collect()
