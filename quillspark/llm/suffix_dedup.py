@@ -13,8 +13,9 @@ cut at the last window's end, then the bytes of the stretch before the anchor. T
    shared with the one before, and the rest), and exchanged. A loser tree that keeps common
    prefixes merges a part's runs; an item equal to its neighbour is a repeat as a whole.
    An item that comes twice in a run is known to repeat there, and crosses once a run.
-3. What is left are stretches at the edges of repeats. Their single windows are sorted,
-   front-coded and merged the same way, each named by its gram and window hash (128 bits).
+3. What is left are stretches at the edges of repeats. Blocks of windows whose common core
+   comes once leave by one more exchange of hashes; the single windows of the others are
+   sorted, front-coded and merged by their bytes in the same way.
 
 A text held by a third of all rows so crosses an exchange once a run and never meets in one
 task by row. A document's answers come back to its own bucket.
@@ -42,38 +43,51 @@ from quillspark.llm.merging import front_code, lcp_merge
 WIDTH, GRAM = 200, 64
 #: Windows of a block; blocks of a stretch at most; numbers of blocks in a run's document at most.
 BLOCK, BLOCKS, NUMBERS = 12, 16, 1 << 40
-RUN_BYTES = 3 << 19
+#: Bytes of text in a run of suffixes, and in one of gram hashes, which take less memory.
+RUN_BYTES, GRAM_RUN_BYTES = 3 << 19, 8 << 20
+#: Windows whose hashes are held at once, and items of a run that are packed together.
+PLACES, PACK = 1 << 17, 4096
 
 
 def stretches(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(first window, last window, anchor, gram hash, document, prefix sums) of the anchors of
-    joined documents; ``ends``: where each document ends in ``buf``."""
-    s = H.prefix_sums(buf)
-    none = np.zeros(0, np.int64)
+    """(first window, last window, anchor, gram hash, document) of the anchors of joined
+    documents; ``ends``: where each document ends in ``buf``. Hashes of ``PLACES`` windows are
+    held at once; they do not depend on where a piece of ``buf`` begins."""
     n = len(buf) - WIDTH + 1
-    if n <= 0:
-        return none, none, none, none.astype(np.uint64), none, s
-    grams = H.windows(s, GRAM)
     span = WIDTH - GRAM + 1
-    key = (grams >> np.uint64(32) << np.uint64(32)) | np.arange(len(grams), dtype=np.uint64)
-    # least key of each span of grams: prefix and suffix minima of blocks
-    rows = -(-len(key) // span)
-    pad = np.full(rows * span, np.iinfo(np.uint64).max, np.uint64)
-    pad[: len(key)] = key
-    block = pad.reshape(rows, span)
-    ahead = np.minimum.accumulate(block, axis=1).reshape(-1)
-    behind = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    anchor = (np.minimum(behind[:n], ahead[span - 1 : span - 1 + n]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    # windows that stay in their document
-    inside = np.ones(n, bool)
-    for e in ends[:-1]:
-        inside[max(0, e - WIDTH + 1) : min(e, n)] = False
-    cut = np.flatnonzero((anchor[1:] != anchor[:-1]) | (inside[1:] != inside[:-1])) + 1
-    lo = np.concatenate([[0], cut])
-    hi = np.concatenate([cut, [n]]) - 1
-    keep = inside[lo]
+    begins, anchors, names, insides = [], [], [], []
+    last, was = -1, True
+    for a in range(0, max(n, 0), PLACES):
+        m = min(PLACES, n - a)
+        grams = H.windows(H.prefix_sums(buf[a : a + m + WIDTH - 1]), GRAM)
+        key = (grams >> np.uint64(32) << np.uint64(32)) | np.arange(len(grams), dtype=np.uint64)
+        # least key of each span of grams: prefix and suffix minima of blocks
+        rows = -(-len(key) // span)
+        pad = np.full(rows * span, np.iinfo(np.uint64).max, np.uint64)
+        pad[: len(key)] = key
+        block = pad.reshape(rows, span)
+        ahead = np.minimum.accumulate(block, axis=1).reshape(-1)
+        behind = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+        place = (np.minimum(behind[:m], ahead[span - 1 : span - 1 + m]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        # windows that stay in their document
+        inside = np.ones(m, bool)
+        for e in ends[np.searchsorted(ends, a, side="right") : np.searchsorted(ends, a + m + WIDTH)].tolist():
+            inside[max(0, e - WIDTH + 1 - a) : max(0, min(e - a, m))] = False
+        new = np.ones(m, bool)
+        new[1:] = (place[1:] != place[:-1]) | (inside[1:] != inside[:-1])
+        new[0] = place[0] + a != last or bool(inside[0]) != was
+        at = np.flatnonzero(new)
+        begins.append(at + a)
+        anchors.append(place[at] + a)
+        names.append(grams[place[at]])
+        insides.append(inside[at])
+        last, was = int(place[-1]) + a, bool(inside[-1])
+    none = np.zeros(0, np.int64)
+    lo = np.concatenate([none, *begins])
+    keep = np.concatenate([none.astype(bool), *insides])
+    hi = np.append(lo[1:], max(n, 0)) - 1 if len(lo) else lo
     lo, hi = lo[keep], hi[keep]
-    return lo, hi, anchor[lo], grams[anchor[lo]], np.searchsorted(ends, lo, side="right"), s
+    return lo, hi, np.concatenate([none, *anchors])[keep], np.concatenate([none.astype(np.uint64), *names])[keep], np.searchsorted(ends, lo, side="right")
 
 
 def _joined(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -88,8 +102,8 @@ def _number(doc: np.ndarray) -> np.ndarray:
 
 def _grams(n: int):
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for ids, docs in X.runs(batches, "doc_id", "text", RUN_BYTES):
-            _, _, _, gram, doc, _ = stretches(*_joined(docs))
+        for ids, docs in X.runs(batches, "doc_id", "text", GRAM_RUN_BYTES):
+            _, _, _, gram, doc = stretches(*_joined(docs))
             yield pd.DataFrame(list(X.send(gram, ids[doc], _number(doc).astype(np.uint64), n)), columns=["part", "kind", "a", "b", "c"])
 
     return f
@@ -106,8 +120,17 @@ def _answers(sent: DataFrame) -> DataFrame:
 
 
 def _packed(lcps: np.ndarray, sizes: np.ndarray, rests: bytes, doc: np.ndarray, aux: np.ndarray) -> tuple[bytes, bytes, bytes]:
-    a = lcps.astype("<u2").tobytes() + sizes.astype("<u2").tobytes() + rests
-    return zlib.compress(a, 1), zlib.compress(H.planes(doc) + H.planes(aux), 1), len(doc).to_bytes(4, "little")
+    """A run in blocks of ``PACK`` items, each packed by itself, so that a merge holds one block
+    of each run: (blocks, references of the blocks, lengths of both)."""
+    ends = np.append(0, np.cumsum(sizes, dtype=np.int64))
+    items, refs, size = [], [], []
+    for i in range(0, len(doc), PACK):
+        j = min(i + PACK, len(doc))
+        a = lcps[i:j].astype("<u2").tobytes() + sizes[i:j].astype("<u2").tobytes() + rests[ends[i] : ends[j]]
+        items.append(zlib.compress(a, 1))
+        refs.append(zlib.compress(H.planes(doc[i:j]) + H.planes(aux[i:j]), 1))
+        size += [j - i, len(items[-1]), len(refs[-1])]
+    return b"".join(items), b"".join(refs), np.array(size, "<u4").tobytes()
 
 
 def _pack_run(items: list[bytes], docs: list[int], aux: list[int]) -> tuple[bytes, bytes, bytes]:
@@ -115,16 +138,19 @@ def _pack_run(items: list[bytes], docs: list[int], aux: list[int]) -> tuple[byte
     return _packed(np.array(lcps, "<u2"), np.array([len(r) for r in rests], "<u2"), b"".join(rests), np.array(docs, np.int64), np.array(aux, np.uint64))
 
 
-def _unpack_run(a: bytes, refs: bytes, n: bytes) -> Iterator[tuple[int, bytes, object]]:
-    m = int.from_bytes(n, "little")
-    a, refs = zlib.decompress(a), zlib.decompress(refs)
-    lcps = np.frombuffer(a, "<u2", m).tolist()
-    ends = (np.cumsum(np.frombuffer(a, "<u2", m, 2 * m)) + 4 * m).tolist()
-    docs, aux = H.unplanes(refs[: 8 * m], np.int64).tolist(), H.unplanes(refs[8 * m :]).tolist()
-    at = 4 * m
-    for k in range(m):
-        yield lcps[k], a[at : ends[k]], (docs[k], aux[k])
-        at = ends[k]
+def _unpack_run(items: bytes, refs: bytes, sizes: bytes) -> Iterator[tuple[int, bytes, object]]:
+    """(shared prefix, rest, (document, aux)) of a run, a block at a time."""
+    x = y = 0
+    for m, n, k in np.frombuffer(sizes, "<u4").reshape(-1, 3).tolist():
+        a, r = zlib.decompress(items[x : x + n]), zlib.decompress(refs[y : y + k])
+        x, y = x + n, y + k
+        lcps = np.frombuffer(a, "<u2", m).tolist()
+        ends = (np.cumsum(np.frombuffer(a, "<u2", m, 2 * m), dtype=np.int64) + 4 * m).tolist()
+        docs, aux = H.unplanes(r[: 8 * m], np.int64).tolist(), H.unplanes(r[8 * m :]).tolist()
+        at = 4 * m
+        for i in range(m):
+            yield lcps[i], a[at : ends[i]], (docs[i], aux[i])
+            at = ends[i]
 
 
 #: On an entry that crosses for several of its run, which are answered already; on an
@@ -156,7 +182,10 @@ def _send_runs(items: list[bytes], part: np.ndarray, doc: np.ndarray, aux: np.nd
     yield from X.direct(doc[i], aux[i], n)
 
 
-def _merge(n: int):
+def _merge(n: int, expand: bool = True):
+    """Reducer of a part: the entries of items that come twice. ``expand``: items of a gram
+    that has both such items and single ones are marked, one entry each."""
+
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
         runs, out = [], []
         part = int(pdf["part"].iloc[0])
@@ -184,10 +213,10 @@ def _merge(n: int):
                 continue
             single |= close()
             if lcp < GRAM:  # another gram
-                found += [(d, x | EXPAND) for d, x in repeated] if single else []
+                found += [(d, x | EXPAND) for d, x in repeated] if single and expand else []
                 repeated, single = [], False
             size, held = len(item), [ref]
-        if close() and repeated or single:
+        if (close() and repeated or single) and expand:
             found += [(d, x | EXPAND) for d, x in repeated]
         docs, aux = [d for d, _ in found], [x for _, x in found]
         out += X.direct(np.array(docs, np.int64), np.array(aux, np.uint64), n)
@@ -203,12 +232,12 @@ def _part_of(h: np.ndarray, n: int) -> np.ndarray:
 def _candidates(docs: list[bytes], hits: list[bytes]) -> tuple:
     """Stretches of a run's documents that ``hits`` name."""
     buf, ends = _joined(docs)
-    lo, hi, anchor, gram, doc, s = stretches(buf, ends)
+    lo, hi, anchor, gram, doc = stretches(buf, ends)
     number = _number(doc)
     first = np.searchsorted(doc, np.arange(len(docs)))
     named = [first[k] + H.unplanes(h).astype(np.int64) for k, h in enumerate(hits) if h]
     at = np.concatenate([np.zeros(0, np.int64), *named])
-    return b"".join(docs), ends, lo, hi, anchor, gram, doc, number, s, at
+    return buf, ends, lo, hi, anchor, gram, doc, number, at
 
 
 def _batches(batches: Iterator[pd.DataFrame], *more: str) -> Iterator[tuple]:
@@ -231,7 +260,8 @@ def _batches(batches: Iterator[pd.DataFrame], *more: str) -> Iterator[tuple]:
 def _suffixes(n: int):
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ids, docs, hits in _batches(batches, "hits"):
-            whole, _, lo, hi, anchor, gram, doc, number, _, at = _candidates(docs, hits)
+            buf, _, lo, hi, anchor, gram, doc, number, at = _candidates(docs, hits)
+            whole = buf.tobytes()
             # the suffix at the anchor, then what stands before it reversed, then where they part
             items = [whole[c : b + WIDTH] + whole[a:c][::-1] + (b - c).to_bytes(2, "big", signed=True) for a, b, c in zip(lo[at].tolist(), hi[at].tolist(), anchor[at].tolist())]
             rows = _send_runs(items, _part_of(gram[at], n), ids[doc[at]], number[at].astype(np.uint64), n)
@@ -242,7 +272,7 @@ def _suffixes(n: int):
 
 def _edge_units(docs: list[bytes], hits: list, done: list) -> tuple:
     """Stretches whose single windows are to be looked at."""
-    _, ends, lo, hi, anchor, gram, doc, number, s, at = _candidates(docs, hits)
+    buf, ends, lo, hi, anchor, gram, doc, number, at = _candidates(docs, hits)
     first = np.searchsorted(doc, np.arange(len(docs)))
     told = [(k, H.unplanes(h).astype(np.int64)) for k, h in enumerate(done) if h]
     none = np.zeros(0, np.int64)
@@ -250,7 +280,7 @@ def _edge_units(docs: list[bytes], hits: list, done: list) -> tuple:
     look = np.concatenate([none, *(first[k] + (x[x >= EXPAND] & (EXPAND - 1)) for k, x in told)])
     at = np.union1d(np.setdiff1d(at, over), look)
     begin = ends - np.array([len(x) for x in docs], np.int64) if docs else ends
-    return lo[at], hi[at], anchor[at], gram[at], doc[at], number[at], s, begin
+    return lo[at], hi[at], anchor[at], gram[at], doc[at], number[at], buf, begin
 
 
 def _blocks(lo: np.ndarray, hi: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -266,7 +296,8 @@ def _cores(n: int):
 
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ids, docs, hits, done in _batches(batches, "hits", "done"):
-            lo, hi, anchor, gram, doc, number, s, _ = _edge_units(docs, hits, done)
+            lo, hi, anchor, gram, doc, number, buf, _ = _edge_units(docs, hits, done)
+            s = H.prefix_sums(buf)
             unit, block = _blocks(lo, hi, anchor)
             start = anchor[unit] - block * BLOCK
             core = H.ranges(s, start, start + WIDTH - BLOCK + 1)
@@ -278,9 +309,11 @@ def _cores(n: int):
 
 
 def _edges(n: int):
+    """Single windows of blocks whose core comes again, sorted and front-coded by their bytes."""
+
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ids, docs, hits, done, cores in _batches(batches, "hits", "done", "cores"):
-            lo, hi, anchor, gram, doc, number, s, begin = _edge_units(docs, hits, done)
+            lo, hi, anchor, _, doc, number, buf, begin = _edge_units(docs, hits, done)
             unit, block = _blocks(lo, hi, anchor)
             none = np.zeros(0, np.int64)
             known = [k * NUMBERS + H.unplanes(h).astype(np.int64) for k, h in enumerate(cores) if h]
@@ -290,42 +323,21 @@ def _edges(n: int):
             low = np.maximum(lo[unit], anchor[unit] - block * BLOCK - BLOCK + 1)
             size = last - low + 1
             start = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            g, d = np.repeat(gram[unit], size), np.repeat(doc[unit], size)
-            w = H.ranges(s, start, start + WIDTH)
-            rows = _send_names(g, w, ids[d], (start - begin[d]).astype(np.uint64), n)
+            c, d = np.repeat(anchor[unit], size), np.repeat(doc[unit], size)
+            w = H.ranges(H.prefix_sums(buf), start, start + WIDTH)
+            whole = buf.tobytes()
+            items = [whole[y : x + WIDTH] + whole[x:y][::-1] + (y - x).to_bytes(1, "big") for x, y in zip(start.tolist(), c.tolist())]
+            rows = _send_runs(items, _part_of(w, n), ids[d], (start - begin[d]).astype(np.uint64), n)
             yield pd.DataFrame(list(rows), columns=["part", "kind", "a", "b", "c"])
 
     return f
 
 
-def _send_names(g: np.ndarray, w: np.ndarray, doc: np.ndarray, aux: np.ndarray, n: int) -> Iterator[tuple]:
-    """As ``_send_runs`` for the 16-byte names (g, w), in array operations."""
-    twice = []
-    for p, at in X.by_part(_part_of(w, n), n):
-        at = at[np.lexsort((w[at], g[at]))]
-        same = (g[at][1:] == g[at][:-1]) & (w[at][1:] == w[at][:-1])
-        many = np.zeros(len(at), bool)
-        many[1:] |= same
-        many[:-1] |= same
-        first = np.ones(len(at), bool)
-        first[1:] = ~same
-        twice.append(at[many])
-        sent, several = at[first], many[first]
-        name = np.stack([g[sent], w[sent]], axis=1).astype(">u8").view(np.uint8).reshape(-1, 16)
-        lcp = np.zeros(len(sent), "<u2")
-        lcp[1:] = (name[1:] != name[:-1]).argmax(axis=1)
-        rests = name[np.arange(16) >= lcp[:, None]].tobytes()
-        refs = aux[sent] | np.where(several, np.uint64(SEVERAL), np.uint64(0))
-        yield (p, X.SINGLE, *_packed(lcp, (16 - lcp).astype("<u2"), rests, doc[sent], refs))
-    i = np.concatenate([np.zeros(0, np.int64), *twice])
-    yield from X.direct(doc[i], aux[i], n)
-
-
 def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Spans to remove from each candidate document: repeated stretches and windows, united."""
     for ids, docs, done, windows in _batches(batches, "done", "windows"):
         buf, ends = _joined(docs)
-        lo, hi, _, _, doc, _ = stretches(buf, ends)
+        lo, hi, _, _, doc = stretches(buf, ends)
         first = np.searchsorted(doc, np.arange(len(docs)))
         out = []
         for k, (i, t, a, b) in enumerate(zip(ids.tolist(), docs, done, windows)):
@@ -365,7 +377,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """(doc_id, n_bytes, spans, n_removed, kept): what is removed and the bytes that stay."""
     spark = docs.sparkSession
     scratch.small_batches(spark)
-    n = scratch.parts(spark)
+    n = scratch.parts(spark, docs)
     d = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     d = scratch.one_row_per_id(d, "doc_id").withColumn("text", F.col("text").cast("binary"))
     hits = scratch.stage(_answers(X.exchange(d.mapInPandas(_grams(n), X.SCHEMA), n)), "hits")
@@ -378,7 +390,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     some = some.join(done, "doc_id", "left")
     cores = scratch.stage(_answers(X.exchange(some.mapInPandas(_cores(n), X.SCHEMA), n)).withColumnRenamed("hits", "cores"), "cores")
     sent = some.join(cores, "doc_id").mapInPandas(_edges(n), X.SCHEMA)
-    windows = scratch.stage(_answers(sent.groupBy("part").applyInPandas(_merge(n), X.SCHEMA)).withColumnRenamed("hits", "windows"), "windows")
+    windows = scratch.stage(_answers(sent.groupBy("part").applyInPandas(_merge(n, False), X.SCHEMA)).withColumnRenamed("hits", "windows"), "windows")
     out = some.join(windows, "doc_id", "left").select("doc_id", "text", "done", "windows").mapInPandas(_removed, RESULT)
     rest = every.filter("hits is null").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"),
                                                F.array().cast("array<array<long>>").alias("spans"), F.lit(0).cast("long").alias("n_removed"), F.col("text").alias("kept"))
