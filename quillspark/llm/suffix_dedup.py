@@ -15,7 +15,8 @@ cut at the last window's end, then the bytes of the stretch before the anchor. T
    An item that comes twice in a run is known to repeat there, and crosses once a run.
 3. What is left are stretches at the edges of repeats. Blocks of windows whose common core
    comes once leave by one more exchange of hashes; the single windows of the others are
-   sorted, front-coded and merged by their bytes in the same way.
+   sorted, front-coded and merged in the same way, each named by its gram and window hash
+   (128 bits): windows whole would need more than the allowed disk (README).
 
 A text held by a third of all rows so crosses an exchange once a run and never meets in one
 task by row. A document's answers come back to its own bucket.
@@ -309,11 +310,9 @@ def _cores(n: int):
 
 
 def _edges(n: int):
-    """Single windows of blocks whose core comes again, sorted and front-coded by their bytes."""
-
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ids, docs, hits, done, cores in _batches(batches, "hits", "done", "cores"):
-            lo, hi, anchor, _, doc, number, buf, begin = _edge_units(docs, hits, done)
+            lo, hi, anchor, gram, doc, number, buf, begin = _edge_units(docs, hits, done)
             unit, block = _blocks(lo, hi, anchor)
             none = np.zeros(0, np.int64)
             known = [k * NUMBERS + H.unplanes(h).astype(np.int64) for k, h in enumerate(cores) if h]
@@ -323,16 +322,37 @@ def _edges(n: int):
             low = np.maximum(lo[unit], anchor[unit] - block * BLOCK - BLOCK + 1)
             size = last - low + 1
             start = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            c, d = np.repeat(anchor[unit], size), np.repeat(doc[unit], size)
+            g, d = np.repeat(gram[unit], size), np.repeat(doc[unit], size)
             w = H.ranges(H.prefix_sums(buf), start, start + WIDTH)
-            whole = buf.tobytes()
-            items = [whole[y : x + WIDTH] + whole[x:y][::-1] + (y - x).to_bytes(1, "big") for x, y in zip(start.tolist(), c.tolist())]
-            rows = _send_runs(items, _part_of(w, n), ids[d], (start - begin[d]).astype(np.uint64), n)
+            rows = _send_names(g, w, ids[d], (start - begin[d]).astype(np.uint64), n)
             yield pd.DataFrame(list(rows), columns=["part", "kind", "a", "b", "c"])
 
     return f
 
 
+def _send_names(g: np.ndarray, w: np.ndarray, doc: np.ndarray, aux: np.ndarray, n: int) -> Iterator[tuple]:
+    """As ``_send_runs`` for the 16-byte names (g, w), in array operations."""
+    twice = []
+    for p, at in X.by_part(_part_of(w, n), n):
+        at = at[np.lexsort((w[at], g[at]))]
+        same = (g[at][1:] == g[at][:-1]) & (w[at][1:] == w[at][:-1])
+        many = np.zeros(len(at), bool)
+        many[1:] |= same
+        many[:-1] |= same
+        first = np.ones(len(at), bool)
+        first[1:] = ~same
+        twice.append(at[many])
+        sent, several = at[first], many[first]
+        name = np.stack([g[sent], w[sent]], axis=1).astype(">u8").view(np.uint8).reshape(-1, 16)
+        lcp = np.zeros(len(sent), "<u2")
+        lcp[1:] = (name[1:] != name[:-1]).argmax(axis=1)
+        rests = name[np.arange(16) >= lcp[:, None]].tobytes()
+        refs = aux[sent] | np.where(several, np.uint64(SEVERAL), np.uint64(0))
+        yield (p, X.SINGLE, *_packed(lcp, (16 - lcp).astype("<u2"), rests, doc[sent], refs))
+    i = np.concatenate([np.zeros(0, np.int64), *twice])
+    yield from X.direct(doc[i], aux[i], n)
+
+
 def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Spans to remove from each candidate document: repeated stretches and windows, united."""
     for ids, docs, done, windows in _batches(batches, "done", "windows"):
