@@ -9,10 +9,11 @@ Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` a turn. Inside roles and text
 becomes two and ``<|`` becomes ``<\\|`` (line feeds in roles: ``\\n``), so control strings
 never come from a text and every text can be read back.
 
-Defined cases: null text or role is empty. Rows without a tree id are left out. A message
-whose parent is unknown is a root. Messages that repeat a turn are taken in the order of
-role and text. Empty table: empty result (the query adds its own conversation -1). Other
-input columns are ignored.
+Defined cases: null text or role is empty, a null score 0. Rows without a tree id or a node are
+left out. A message whose parent is unknown is a root; of messages that are each other's
+ancestors the smallest is one. Of messages that repeat a node the smallest (parent, role,
+text, score) stays. Rows that repeat a turn are taken in the order of role and text. Empty
+table: empty result (the query adds its own conversation -1). Other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,29 +52,66 @@ def replies(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
     return t.select("conv_id", n.alias("node"), F.when(n > 1, n - 1).alias("parent"), "role", "text", F.lit(1.0).alias("score"))
 
 
+def _doubled(jump: DataFrame) -> DataFrame:
+    """Jumps twice as long; ``low`` is the smallest node on the way."""
+    onward = jump.select("conv_id", F.col("node").alias("above"), F.col("above").alias("top"), F.col("low").alias("then"))
+    both = jump.join(onward, ["conv_id", "above"])
+    return scratch.stage(both.select("conv_id", "node", F.col("top").alias("above"), F.least("low", "then").alias("low")), "jump")
+
+
+def uncycled(nodes: DataFrame, rounds: int) -> DataFrame:
+    """``nodes`` with the smallest message of each cycle cut from its parent. After as many jumps
+    as a tree has messages only messages at or under a cycle are left, and they end on it."""
+    known = nodes.select("conv_id", F.col("node").alias("parent"))
+    jump = nodes.join(known, ["conv_id", "parent"]).select("conv_id", "node", F.col("parent").alias("above"), F.col("node").alias("low"))
+    jump = scratch.stage(jump, "jump")
+    for _ in range(rounds):
+        jump = _doubled(jump)
+    on = jump.select("conv_id", F.col("above").alias("node")).distinct()
+    cut = scratch.stage(jump.join(on, ["conv_id", "node"], "left_semi").select("conv_id", F.col("low").alias("node")).distinct().withColumn("cut", F.lit(True)), "cycles")
+    return nodes.join(cut, ["conv_id", "node"], "left").select("conv_id", "node", F.when(F.col("cut").isNull(), F.col("parent")).alias("parent"))
+
+
 def paths(messages: DataFrame) -> DataFrame:
-    """(conv_id, leaf, node, up): every root-to-leaf path; ``up`` counts from the leaf."""
+    """(conv_id, leaf, node, up): every root-to-leaf path; ``up`` counts from the leaf. The rounds
+    are bounded by the messages of the largest tree; what goes on then are cycles."""
     nodes = messages.select("conv_id", "node", "parent")
+    most = nodes.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    rounds = max(1, most).bit_length()
     known = nodes.select("conv_id", F.col("node").alias("parent"))
-    jump = scratch.stage(nodes.join(known, ["conv_id", "parent"]).select("conv_id", "node", F.col("parent").alias("above")).distinct(), "jump")
+    jump = scratch.stage(nodes.join(known, ["conv_id", "parent"]).select("conv_id", "node", F.col("parent").alias("above"), F.col("node").alias("low")), "jump")
     leaves = nodes.join(jump.select("conv_id", F.col("above").alias("node")).distinct(), ["conv_id", "node"], "left_anti")
-    path = leaves.select("conv_id", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")).distinct()
+    path = leaves.select("conv_id", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
     step = 1
     while not jump.isEmpty():
+        if step > most:
+            return paths(scratch.stage(uncycled(nodes, rounds), "uncycled"))
         further = path.join(jump, ["conv_id", "node"]).select("conv_id", "leaf", F.col("above").alias("node"), (F.col("up") + step).alias("up"))
         path = scratch.stage(path.unionByName(further), "paths")
-        onward = jump.select("conv_id", F.col("node").alias("above"), F.col("above").alias("top"))
-        jump = scratch.stage(jump.join(onward, ["conv_id", "above"]).select("conv_id", "node", F.col("top").alias("above")), "jump")
+        jump = _doubled(jump)
         step *= 2
     return path
 
 
+def distinct_messages(messages: DataFrame) -> DataFrame:
+    """Messages with a tree and a node; of those that repeat a node the smallest (parent, role,
+    text, score) stays. Nothing is moved unless a node does repeat."""
+    m = messages.select("conv_id", "node", "parent", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+                        F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")).filter("conv_id is not null and node is not null")
+    again = scratch.stage(m.groupBy("conv_id", "node").count().filter("count > 1").select("conv_id", "node"), "again")
+    if again.isEmpty():
+        return m
+    one = m.join(again, ["conv_id", "node"], "left_semi").groupBy("conv_id", "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("m")).select("conv_id", "node", "m.*")
+    return m.join(again, ["conv_id", "node"], "left_anti").unionByName(one)
+
+
 def format_conversations(messages: DataFrame, per_tree: int = 1) -> DataFrame:
     """(conv_id, path_rank, path_score, segments, formatted): the best ``per_tree`` paths.
 
-    ``segments`` is the formatted text in pieces with the loss mask: array<struct<text, loss>>.
+    ``segments`` is the formatted text in pieces with the loss mask: array<struct<text, loss>>. The
+    mask is part of the output; ``formatted`` is the segments' texts and does not hold it.
     """
-    messages = scratch.stage(messages, "messages")
+    messages = scratch.stage(distinct_messages(messages), "messages")
     path = paths(messages).join(messages, ["conv_id", "node"])
     pieces = F.array(
         F.struct(F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n")).alias("text"), F.lit(False).alias("loss")),

@@ -6,17 +6,19 @@ alone. Two strings at a small edit distance fall back into step, so their embedd
 a small Hamming distance. Some of an embedding's positions, sampled, make a key; several
 keys from several walks are looked up, and a true match meets the item in one of them.
 
-Windows of a text begin at every word; an item is indexed from each of its words on, so
-that any passage of an item's size holds many windows that can meet it. Short items have
-further, shorter keys. The search can still miss a passage; the README gives its recall. Each
-candidate is settled exactly (counts of pieces and distances of parts first, which drop no match): the least edit distance between the item and any substring of
-the text around it must be at most ``EDITS`` of the item's length.
+An item is covered by walks that begin at each of its words (``LONG`` bytes and more) or each
+of its bytes (shorter ones); the text's windows begin likewise. So the number of windows that
+can meet follows an item's size, and the keys of its size (``KEYS``: shorter spans for shorter
+items) are chosen so that the search reaches ``TARGET`` of the true matches at every length
+and up to the full threshold; a test measures that. Each candidate is settled exactly.
+Distances of an item's parts come first, which drop no match; then the least edit distance between the item and any substring of the text around it must be at most
+``EDITS`` of the item's length.
 
 Texts are compared lower-cased with runs of white space as one space; distances count UTF-8
-bytes. Items of fewer than ``SHORT`` bytes count only where they occur exactly, between
-word boundaries. The walk and the index are a fixed function of the items; a block of items
-is bounded (``BLOCK_ITEMS``) and further blocks are further passes, so nothing unbounded is
-sent to the executors. No row is shuffled but hits.
+bytes. Items of so few bytes that no edit is allowed must equal whole words. The walk and the
+index are a fixed function of the items; a block of items is bounded by its bytes
+(``BLOCK_BYTES``), is sent once an executor and indexed once a worker; further blocks are
+further passes. No row is shuffled but hits.
 
 Defined cases: null or empty texts and items match nothing. Null ids: the row is left out.
 Repeated rows give a hit each pair once. Empty tables: empty result. Other columns are ignored.
@@ -25,6 +27,7 @@ Repeated rows give a hit each pair once. Empty tables: empty result. Other colum
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,48 +35,53 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm import hashing as H
 from quillspark.llm import scratch
 
-EDITS = 0.2
-SHORT = 40
-#: Steps of each walk, and its keys: (sampled positions, steps they lie in, longest item that
-#: is looked up by it). The shorter keys serve short items, which have few words to meet at.
-STEPS, WALKS = 48, 2
-KEYS = [(12, 30, 1 << 30), (12, 36, 1 << 30), (12, 42, 1 << 30), (12, 48, 1 << 30), (10, 20, 180), (8, 14, 64), (6, 10, 64)]
-#: Length of the pieces that are counted before a distance is computed, and bits of their names.
-PIECE, NAME = 4, 12
-BLOCK_ITEMS = 20_000
+EDITS, TARGET = 0.2, 0.9
+#: Items of so many bytes are met at words, others at bytes.
+LONG = 64
+#: Walks, and the keys of each: (sampled positions, steps they lie in, least and most bytes of an
+#: item that is looked up by it).
+WALKS = 2
+KEYS = [(12, 30, LONG, 1 << 30), (12, 36, LONG, 1 << 30), (10, 20, LONG, 160), (9, 17, LONG, 90), (4, 7, 1, LONG - 1), (3, 5, 1, 15)]
+BLOCK_BYTES = 4 << 20
 CHUNK = 8 << 20
 #: Windows that are embedded at once, and candidates whose distances are computed at once.
 LANES, PAIRS = 1 << 15, 1 << 11
 
 
 class Plan:
-    """Random bits and sampled positions, the same wherever they are made."""
-
-    def __init__(self, seed: int = 7):
-        rng = np.random.default_rng(seed)
-        self.bits = [rng.integers(0, 2, (STEPS, 256), dtype=np.int32) for _ in range(WALKS)]
-        self.keys = [[set(rng.choice(span, n, replace=False).tolist()) for n, span, _ in KEYS] for _ in range(WALKS)]
+    """Random bits and sampled positions, the same wherever they are made, of some of the keys."""
+
+    def __init__(self, keys: list[tuple[int, int, int, int]], seed: int = 7):
+        self.keys = keys
+        self.steps = max([span for _, span, *_ in keys], default=1)
+        self.bits, self.sampled = [], []
+        for w in range(WALKS):
+            # a character on which one walk stays moves the next walk on
+            bits = np.random.default_rng([seed, w // 2]).integers(0, 2, (self.steps, 256), dtype=np.int32)
+            self.bits.append(bits if w % 2 == 0 else 1 - bits)
+            # one position of each of n equal stretches, so that a key covers its whole span
+            self.sampled.append([{int((i + u) * span / n) for i, u in enumerate(np.random.default_rng([seed, w, n, span]).random(n))} for n, span, *_ in keys])
 
     def embed(self, buf: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
         """A key for each table of windows of ``buf`` (padded) that begin at ``start``."""
-        out = [np.empty(len(start), np.uint32) for _ in range(WALKS * len(KEYS))]
+        n = len(self.keys)
+        out = [np.empty(len(start), np.uint32) for _ in range(WALKS * n)]
         for lo in range(0, len(start), LANES):
             for w in range(WALKS):
                 at = start[lo : lo + LANES].astype(np.int32)
-                h = [np.full(len(at), k + 1 + w * len(KEYS), np.uint32) for k in range(len(KEYS))]
-                for j in range(STEPS):
+                h = [np.full(len(at), k + 1 + w * n, np.uint32) for k in range(n)]
+                for j in range(self.steps):
                     c = buf[at]
-                    for k in range(len(KEYS)):
-                        if j in self.keys[w][k]:
+                    for k in range(n):
+                        if j in self.sampled[w][k]:
                             h[k] *= np.uint32(0x01000193)
                             h[k] ^= c
                             h[k] *= np.uint32(0x85EBCA6B)
                     at += self.bits[w][j][c]
-                for k in range(len(KEYS)):
-                    out[w * len(KEYS) + k][lo : lo + LANES] = h[k]
+                for k in range(n):
+                    out[w * n + k][lo : lo + LANES] = h[k]
         return out
 
 
@@ -111,33 +119,6 @@ def distance(item: bytes, text: bytes) -> int:
     return best
 
 
-def names(buf: np.ndarray) -> np.ndarray:
-    """A short name of the piece at each place; equal pieces have equal names."""
-    b, h = buf.astype(np.uint32), np.zeros(max(0, len(buf) - PIECE + 1), np.uint32)
-    for j in range(PIECE):
-        h = (h ^ b[j : j + len(h)]) * np.uint32(0x9E3779B1)
-        h ^= h >> np.uint32(15)
-    return (h >> np.uint32(32 - NAME)).astype(np.uint16)
-
-
-def enough(items: list[bytes], allowed: np.ndarray, which: np.ndarray, buf: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Whether so many of an item's pieces lie in ``buf[lo:hi]`` that its distance can be allowed:
-    an edit spoils at most PIECE of them. Never false for a match."""
-    out = np.empty(len(which), bool)
-    name, order = names(buf), np.argsort(which, kind="stable")
-    used, first = np.unique(which[order], return_index=True)
-    for k, a, b in zip(used.tolist(), first.tolist(), [*first[1:].tolist(), len(which)]):
-        own = names(np.frombuffer(items[k], np.uint8))
-        need = len(own) - PIECE * int(allowed[k])
-        for i in range(a, b, 512):
-            part = order[i : min(b, i + 512)]
-            at = lo[part, None] + np.arange(int((hi[part] - lo[part]).max()))
-            there = np.zeros((len(part), (1 << NAME) + 1), np.uint8)
-            there[np.arange(len(part))[:, None], np.where(at <= hi[part, None] - PIECE, name[np.minimum(at, len(name) - 1)], 1 << NAME)] = 1
-            out[part] = there[:, own].sum(1, dtype=np.int64) >= need
-    return out
-
-
 def distances(items: list[bytes], which: np.ndarray, buf: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """``distance`` of ``items[which]`` and ``buf[lo:hi]`` for many pairs at once, in words of 64 bits."""
     out = np.empty(len(which), np.int64)
@@ -191,41 +172,42 @@ def _distances(items: list[bytes], which: np.ndarray, buf: np.ndarray, lo: np.nd
     return best
 
 
-class Index:
-    """Items by key: sorted keys of each table, with (item, offset)."""
-
-    def __init__(self, items: list[tuple[int, bytes]]):
-        self.plan = Plan()
-        self.items = [(i, t) for i, t in items if len(t) >= SHORT]
-        self.short = [(i, t, re.compile(rb"(?<!\S)" + re.escape(t) + rb"(?!\S)")) for i, t in items if 0 < len(t) < SHORT]
-        pad = bytes(STEPS)
-        starts, item, offset, left, at = [], [], [], [], 0
-        for k, (_, t) in enumerate(self.items):
-            for m in re.finditer(rb"\S+", t):
-                starts.append(at + m.start())
-                item.append(k)
-                offset.append(m.start())
-                left.append(len(t) - m.start())
-            at += len(t) + len(pad)
-        self.item, self.offset, left = np.array(item, np.int64), np.array(offset, np.int64), np.array(left, np.int64)
-        self.size = np.array([len(t) for _, t in self.items], np.int64)
-        self.allowed = np.array([int(EDITS * len(t)) for _, t in self.items], np.int64)
-        buf = np.frombuffer(pad.join([*(t for _, t in self.items), b""]) + pad, np.uint8)
+class Band:
+    """Items that are met at words, or at bytes: sorted keys of each table, with (item, offset)."""
+
+    def __init__(self, items: list[tuple[int, bytes]], words: bool):
+        self.items, self.words = items, words
+        self.size = np.array([len(t) for _, t in items], np.int64)
+        self.allowed = np.array([int(EDITS * len(t)) for _, t in items], np.int64)
+        self.plan = Plan([k for k in KEYS if any(k[2] <= len(t) <= k[3] for _, t in items)])
+        self.pad = bytes(self.plan.steps + 1)
+        buf = np.frombuffer(self.pad.join([*(t for _, t in items), b""]) + self.pad, np.uint8)
+        begin = np.cumsum(self.size + len(self.pad)) - self.size - len(self.pad)
+        start, self.item = [], []
+        for k, (_, t) in enumerate(items):
+            at = self.starts(np.frombuffer(b" " + t, np.uint8)) - 1 if words else np.arange(len(t))
+            start.append(begin[k] + at)
+            self.item.append(np.full(len(at), k, np.int64))
+        start, self.item = np.concatenate(start), np.concatenate(self.item)
+        self.offset = start - begin[self.item]
+        left = self.size[self.item] - self.offset
         self.tables = []
-        for k, h in enumerate(self.plan.embed(buf, np.array(starts, np.int64))):
-            _, span, longest = KEYS[k % len(KEYS)]
-            if not len(h):
-                break
-            own = np.flatnonzero((self.size[self.item] <= longest) & ((self.offset == 0) | (left >= span)))
+        for k, h in enumerate(self.plan.embed(buf, start)):
+            _, span, least, most = self.plan.keys[k % len(self.plan.keys)]
+            size = self.size[self.item]
+            own = np.flatnonzero((size >= least) & (size <= most) & ((self.offset == 0) | (left >= (span if words else span // 2 + 1))))
             own = own[np.argsort(h[own], kind="stable")]
             seen = np.zeros(1 << 22, bool)
             seen[h[own] & np.uint32((1 << 22) - 1)] = True
             self.tables.append((h[own], own, seen))
 
+    @staticmethod
+    def starts(buf: np.ndarray) -> np.ndarray:
+        space = buf == 0x20
+        return np.flatnonzero(space[:-1] & ~space[1:]) + 1
+
     def candidates(self, buf: np.ndarray, start: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(window, place in the index) of windows whose key is an item's, by table."""
-        if not self.items or not len(start):
-            return
         for h, (keys, order, seen) in zip(self.plan.embed(buf, start), self.tables):
             hit = np.flatnonzero(seen[h & np.uint32((1 << 22) - 1)])
             lo, hi = np.searchsorted(keys, h[hit]), np.searchsorted(keys, h[hit], side="right")
@@ -245,50 +227,65 @@ class Index:
             left = left[spent[left] <= self.allowed[k[left]]]
         return left
 
-    def search(self, ids: list[int], docs: list[bytes]) -> list[tuple[int, int, int]]:
-        """(document, item, edits) of every match."""
-        found: dict[tuple[int, int], int] = {}
-        for i, t in zip(ids, docs):
-            for item, _, pattern in self.short:
-                if pattern.search(t):
-                    found[i, item] = 0
-        buf = np.frombuffer(b" ".join([b"", *docs]) + b" " + bytes(STEPS), np.uint8)
-        space = buf == 0x20
-        start = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    def search(self, docs: list[bytes]) -> Iterator[tuple[int, int, int]]:
+        """(document, item, edits) of matches, by their places in the lists."""
+        buf = np.frombuffer(b" ".join([b"", *docs]) + b" " + self.pad, np.uint8)
+        start = self.starts(buf) if self.words else np.arange(1, len(buf) - len(self.pad))
         ends = np.cumsum([len(d) + 1 for d in docs])
         doc = np.searchsorted(ends, start, side="right")
         keep = doc < len(docs)
         start, doc = start[keep], doc[keep]
         # places of candidates, in steps of 32 bytes; each is settled once
         met = [np.zeros(0, np.int64)]
-        span = (len(buf) >> 5) + 2 + (int(self.size.max()) >> 5 if self.items else 0)
+        span = (len(buf) >> 5) + 2 + (int(self.size.max()) >> 5)
         for w, o in self.candidates(buf, start):
             at = (start[w] - self.offset[o] >> 5) + span
             met.append((doc[w] * len(self.items) + self.item[o]) * 2 * span + at)
         tried = np.sort(np.concatenate(met))
         tried = tried[np.diff(tried, prepend=-1) > 0]
-        if not len(tried):
-            return [(i, item, n) for (i, item), n in found.items()]
         pair, at = tried // (2 * span), (tried % (2 * span) - span) << 5
         d, k = pair // len(self.items), pair % len(self.items)
         first = ends - [len(x) + 1 for x in docs] + 1
         lo = np.maximum(first[d], at - self.allowed[k])
-        hi = np.minimum(ends[d], at + 32 + self.size[k] + self.allowed[k])
-        texts, hi = [t for _, t in self.items], np.maximum(lo, hi)
-        keep = enough(texts, self.allowed, k, buf, lo, hi)
-        d, k, lo, hi, at = d[keep], k[keep], lo[keep], hi[keep], at[keep]
+        hi = np.maximum(lo, np.minimum(ends[d], at + 32 + self.size[k] + self.allowed[k]))
+        texts = [t for _, t in self.items]
         keep = self.near(k, buf, at, lo, hi)
         d, k, lo, hi = d[keep], k[keep], lo[keep], hi[keep]
         n = distances(texts, k, buf, lo, hi)
-        for x in np.flatnonzero(n <= self.allowed[k]).tolist():
-            key = ids[d[x]], self.items[k[x]][0]
-            found[key] = min(found.get(key, 1 << 30), int(n[x]))
+        ok = n <= self.allowed[k]
+        yield from zip(d[ok].tolist(), k[ok].tolist(), n[ok].tolist())
+
+
+class Index:
+    """All items of a block, by their sizes."""
+
+    def __init__(self, items: list[tuple[int, bytes]]):
+        self.whole = [(i, t, re.compile(rb"(?<!\S)" + re.escape(t) + rb"(?!\S)")) for i, t in items if t and not int(EDITS * len(t))]
+        some = [x for x in items if int(EDITS * len(x[1]))]
+        groups = [([x for x in some if len(x[1]) >= LONG], True), ([x for x in some if len(x[1]) < LONG], False)]
+        self.bands = [Band(x, words) for x, words in groups if x]
+
+    def search(self, ids: list[int], docs: list[bytes]) -> list[tuple[int, int, int]]:
+        """(document, item, edits) of every match."""
+        found = {(i, item): 0 for i, t in zip(ids, docs) for item, _, pattern in self.whole if pattern.search(t)}
+        for band in self.bands if docs else []:
+            for d, k, n in band.search(docs):
+                key = ids[d], band.items[k][0]
+                found[key] = min(found.get(key, 1 << 30), n)
         return [(i, item, n) for (i, item), n in found.items()]
 
 
-def _search(items: list[tuple[int, bytes]]):
+_built: dict[str, Index] = {}
+
+
+def _search(items, name: str):
+    """``items``: a broadcast block of bounded size; a worker keeps the index of the last one."""
+
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = Index(items)
+        if name not in _built:
+            _built.clear()
+            _built[name] = Index(items.value)
+        index = _built[name]
         ids, docs, n = [], [], 0
 
         def flush() -> pd.DataFrame:
@@ -311,15 +308,16 @@ def _search(items: list[tuple[int, bytes]]):
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, edits): every document with an item that occurs in it, nearly."""
     spark = docs.sparkSession
-    scratch.small_batches(spark, 1000)
+    scratch.small_batches(spark)
     d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id is not null")
     b = benchmark.select(F.col(item).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).filter("item_id is not null and text is not null").distinct()
-    blocks = max(1, -(-b.count() // BLOCK_ITEMS))
+    size = b.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // BLOCK_BYTES))
     out = None
-    for k in range(blocks):  # one block is the rule; its size is bounded by BLOCK_ITEMS
+    for k in range(blocks):  # one block is the rule; its size is bounded by BLOCK_BYTES
         rows = b.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
         items = sorted((r.item_id, t) for r in rows if (t := clean(r.text)))
-        hits = d.mapInPandas(_search(items), "doc_id long, item_id long, edits long")
+        hits = d.mapInPandas(_search(spark.sparkContext.broadcast(items), uuid.uuid4().hex), "doc_id long, item_id long, edits long")
         out = hits if out is None else out.unionByName(hits)
     return out.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
 

@@ -29,6 +29,7 @@ the named two are ignored, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,8 +43,8 @@ from quillspark.llm import scratch
 from quillspark.llm.components import components
 
 FRAGMENTS = 8
-#: Sets in a block, and n-grams that are compared at once.
-BLOCK, GRAMS = 512, 4096
+#: Sets in a block, their n-grams on average, and n-grams that are compared at once.
+BLOCK, BLOCK_GRAMS, GRAMS = 512, 1 << 19, 4096
 SET_SCHEMA = "doc_id long, n_shingles long, d1 long, d2 long, hs array<long>"
 
 
@@ -91,7 +92,7 @@ def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     documents that can link (else null)."""
     spark = docs.sparkSession
     scratch.small_batches(spark)
-    n = 2 * scratch.parts(spark)
+    n = 2 * scratch.parts(spark, docs)
     d = scratch.one_row_per_id(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), "doc_id")
     sent = d.mapInPandas(_sender(n, width), X.SCHEMA)
     return X.exchange(sent, n).groupBy("part").applyInPandas(_assemble(percent), SET_SCHEMA)
@@ -102,7 +103,7 @@ def _segments(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     global order; and (h, rep, n, left, own): the prefixes, with the number of n-grams from
     there on and of those that no other set holds."""
     each = sets.select("rep", "n", F.explode("hs").alias("h"))
-    df = each.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+    df = scratch.stage(each.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), "frequencies")
     # the order: frequency band, then the hash as a fraction of its range
     unit = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
     each = scratch.stage(each.join(df, "h").select("rep", "n", "h", (F.floor(F.log2("df")) + unit).alias("o")), "ngrams")
@@ -162,8 +163,10 @@ def link_counts(member: DataFrame, reps: DataFrame, comp: DataFrame, percent: in
     """(rep, n_links): for each class, the documents of other classes that link with it."""
     n = 8 * scratch.parts(reps.sparkSession)
     every = comp.select(F.col("node").alias("rep"), "component")
-    many = every.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    each = reps.join(every, "rep").join(many, "component").join(member.groupBy("rep").agg(F.count("*").alias("size")), "rep")
+    reps = scratch.stage(reps.join(every, "rep").join(member.groupBy("rep").agg(F.count("*").alias("size")), "rep"), "linked")
+    wanted = F.greatest(F.count("*") / BLOCK, F.sum(F.size("hs")) / BLOCK_GRAMS)
+    many = scratch.stage(reps.groupBy("component").agg(F.ceil(wanted).cast("int").alias("blocks")), "blocks")
+    each = reps.join(many, "component")
     each = each.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # components of one block share groups; others have one for each two blocks
     each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -179,7 +182,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     those with an equal set too. Without ``count_links`` that column is left out."""
     all_sets = scratch.stage(shingle_sets(docs, key, text, width, percent), "sets")
     sets = all_sets.filter("hs is not null")
-    classes = sets.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    # what is joined to rows is written first: Spark splits a frequent key only where no aggregate
+    # stands between the exchange and the join
+    classes = scratch.stage(sets.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     member = sets.select("doc_id", "d1", "d2", "n_shingles").join(classes, ["d1", "d2", "n_shingles"]).select("doc_id", "rep")
     member = scratch.stage(member, "classes")
     reps = member.filter("doc_id = rep").select("rep").join(sets.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "hs"), "rep")
@@ -193,7 +198,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         return [F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("left").alias(f"l{x}")]
 
     pivot = prefix.groupBy("h").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "rep", "n", "left")).alias("p"), F.count("*").alias("m"))
-    pivot = pivot.filter("m > 1").select("h", "p.*").select("h", *side("b"))
+    pivot = scratch.stage(pivot.filter("m > 1").select("h", "p.*").select("h", *side("b")), "pivots")
     met = prefix.select("h", *side("a")).join(pivot, "h").filter("a <> b").filter(able("a", "b"))
     pairs = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = scratch.stage(_links(pairs, segs, percent), "links")
@@ -203,10 +208,13 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     named = scratch.stage(named, "named")
     by = named.groupBy("h", "component").agg(F.count("*").alias("m"))
     big = by.groupBy("h").agg(F.max_by("component", F.struct("m", "component")).alias("big"), F.count("*").alias("c")).filter("c > 1").select("h", "big")
-    left = named.join(big, "h").select("h", "big", *side("a"), F.col("component").alias("ca"))
-    inner = named.join(big, "h").select("h", *side("b"), F.col("component").alias("cb"), F.col("big").alias("bb"))
+    open_ = scratch.stage(named.join(scratch.stage(big, "largest"), "h"), "open")
+    # sizes of sets that link differ by a quarter at most, so they lie in the same band or the next
+    band = F.floor(F.log(F.col("n")) / F.lit(math.log(100 / percent) * (1 + 1e-9))).cast("int")
+    left = open_.filter("component <> big").select("h", "big", *side("a"), F.col("component").alias("ca"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    inner = open_.select("h", *side("b"), F.col("component").alias("cb"), F.col("big").alias("bb"), band.alias("band"))
     # a is outside the largest component; of two such each pair is taken once
-    met = left.filter("ca <> big").join(inner, "h").filter("ca <> cb and (cb = bb or a < b)").filter(able("a", "b"))
+    met = left.join(inner, ["h", "band"]).filter("ca <> cb and (cb = bb or a < b)").filter(able("a", "b"))
     more = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     links2 = scratch.stage(_links(more, segs, percent), "links")
     every = links.unionByName(links2)

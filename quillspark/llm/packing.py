@@ -1,8 +1,9 @@
 """Packing by Karmarkar-Karp multiway differencing.
 
 Documents become token ids and an end id, cut into pieces of at most ``PIECE`` ids. Pieces
-are dealt to groups of bounded size by a hash of document id and start, so neither a long
-document nor a hot source fills one group. In a group, partial partitions into k windows
+are dealt to groups by a hash of document id and start, so neither a long document nor a hot
+source fills one group; the number of groups follows from the bytes of all texts, and a
+group is packed in runs of at most ``GROUP`` pieces, whatever that estimate was. In a run, partial partitions into k windows
 with the largest imbalances are merged, largest sums against smallest, until one partition
 into k near-equal windows is left; k starts at the least count that can hold the tokens and
 rises whenever a window exceeds the capacity.
@@ -27,9 +28,10 @@ from quillspark.llm import scratch
 from quillspark.llm.tokens import encoder, groups
 
 CAPACITY, END_ID = 4096, 2
-#: Longest piece; a group's pieces on average, where documents have that many each.
+#: Longest piece; pieces that are packed together at most.
 PIECE, GROUP = 1024, 1024
-PIECES_A_DOCUMENT = 2
+#: Bytes of text that a token has at the least on average, for the number of groups alone.
+BYTES_A_TOKEN = 3
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -116,15 +118,23 @@ def _cut(path: str, keep_space: bool, n_groups: int):
 
 def _pack(capacity: int):
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], ignore_index=True)
+        # runs of like numbers of pieces, dealt by hash: each holds long and short ones alike
+        name = [zlib.crc32(b"%d,%d" % x) for x in zip(pdf["doc_id"].tolist(), pdf["start"].tolist())]
+        pdf = pdf.assign(run=name).sort_values(["run", "doc_id", "start"], ignore_index=True)
+        runs = -(-len(pdf) // GROUP)
+        pdf["run"] = np.arange(len(pdf)) * runs // len(pdf)
+        pdf = pdf.sort_values(["run", "length", "doc_id", "start"], ascending=[True, False, True, True], ignore_index=True)
         sizes = pdf["length"].tolist()
         seq, off = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-        base = int(pdf["grp"].iloc[0]) << 24
-        for k, w in enumerate(windows(sizes, capacity)):
-            at = 0
-            for i in w:
-                seq[i], off[i] = base + k, at
-                at += sizes[i]
+        cut = np.searchsorted(pdf["run"], np.arange(runs + 1)).tolist()
+        now = int(pdf["grp"].iloc[0]) << 32
+        for a, b in zip(cut, cut[1:]):
+            for w in windows(sizes[a:b], capacity):
+                at = 0
+                for i in w:
+                    seq[a + i], off[a + i] = now, at
+                    at += sizes[a + i]
+                now += 1
         return pdf.assign(sequence_id=seq, offset=off)[["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]]
 
     return f
@@ -136,7 +146,8 @@ def pack(docs: DataFrame, path: str, keep_space: bool = False, key: str = "doc_i
     scratch.small_batches(spark)
     d = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     d = scratch.one_row_per_id(d, "doc_id")
-    n_groups = max(1, round(d.count() * PIECES_A_DOCUMENT / GROUP))
+    size = d.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("b")).first()
+    n_groups = max(1, -(-(size.n + size.b // (BYTES_A_TOKEN * PIECE)) // GROUP))
     pieces = d.mapInPandas(_cut(path, keep_space, n_groups), "grp long, doc_id long, start long, length long, ids binary, doc_tokens long")
     return pieces.groupBy("grp").applyInPandas(_pack(capacity), SCHEMA)
 

@@ -1,16 +1,19 @@
 """Quality classifier by attention-based multiple-instance learning.
 
-A document is a bag of passages. Each passage is encoded by what its bytes and words are
-like; gated attention, learned from document labels alone, says how much each passage
-counts, and the weighted passage representation is scored. Texts are encoded on the
-executors over whole documents; the model is fitted in numpy on a bounded sample of
-labelled bags (``SAMPLE_DOCS`` documents, ``SAMPLE_BYTES`` of text, chosen by a hash) and is
-a few kilobytes.
+A document is a bag of passages. Each passage is encoded by hashed counts of its words and
+of its character 3-grams and by what its bytes are like; a learned projection turns that into
+a hidden representation. Gated attention, learned from document labels alone, says how much
+each passage counts, and the weighted passage representation is scored. Texts are encoded on
+the executors over whole documents. The model is fitted in numpy on a bounded sample of
+labelled bags: ``SAMPLE_DOCS`` documents, chosen by a hash, of each at most ``BAG`` passages,
+evenly spaced (a longer text so takes no more room than others); it is some kilobytes.
 
 Defined cases: null or empty text: one passage without bytes. A null id: the row is left
 out. Repeated labels of an id: their mean decides, at least half is 1. Rows that repeat an
-id each get a row. No usable labels, or labels of one kind: every score is the share of
-label 1 (0.5 without labels). Empty table: empty result. Other columns are ignored.
+id each get a row; the smallest text is fitted. Labels without a document do not count. No
+usable labels, or labels of one kind: every score is the share of label 1 (0.5 without
+labels), and ``Model.n_bags`` says how many bags were used. Empty table: empty result. Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,15 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import exchange as X
 from quillspark.llm import hashing as H
 from quillspark.llm import scratch
 
-SAMPLE_DOCS, SAMPLE_BYTES = 6000, 40 << 20
+SAMPLE_DOCS, BAG = 6000, 48
 PASSAGE = 512
+#: Buckets of hashed words and of hashed character 3-grams.
+WORDS, GRAMS = 128, 256
 _MARKS = b"#*$%&|<>!.,;:?\"'()[]{}-_=+/@~^\\"
 N_CLASSES = 10 + len(_MARKS)
 _CLASS = np.zeros(256, np.int64)
@@ -41,7 +46,10 @@ _CLASS[0x80:0xC0] = 7
 _CLASS[0xC0:] = 8
 for _i, _c in enumerate(_MARKS):
     _CLASS[_c] = 10 + _i
-DIM = N_CLASSES + 6
+BASE = N_CLASSES + 6
+DIM = BASE + WORDS + GRAMS
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
 
 
 def encode(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -76,6 +84,16 @@ def encode(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     out[:, N_CLASSES + 3] = np.log1p(per)[doc] / 8
     out[:, N_CLASSES + 4] = (np.bincount(wd, weights=g, minlength=len(docs)) / np.maximum(1, per))[doc]
     out[:, N_CLASSES + 5] = hist[:, 2] / np.maximum(1, hist[:, 1] + hist[:, 2])
+    # hashed n-grams, as square roots of their shares
+    h = np.bincount(wp * WORDS + (w >> np.uint64(40)).astype(np.int64) % WORDS, minlength=n * WORDS).reshape(n, WORDS)
+    out[:, BASE : BASE + WORDS] = np.sqrt(h / np.maximum(1, words)[:, None])
+    if len(buf) > 2:
+        low = _LOWER[buf].astype(np.uint32)
+        g = low[:-2] | low[1:-1] << np.uint32(8) | low[2:] << np.uint32(16)
+        g = (g * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.int64)
+        same = passage[:-2] == passage[2:]
+        h = np.bincount(passage[:-2][same] * GRAMS + g[same], minlength=n * GRAMS).reshape(n, GRAMS)
+        out[:, BASE + WORDS :] = np.sqrt(h / total[:, None])
     return out, doc
 
 
@@ -108,8 +126,10 @@ class Model:
         r = np.random.default_rng(seed)
         self.p = {"W": r.normal(0, dim**-0.5, (dim, hidden)), "b": np.zeros(hidden), "V": r.normal(0, hidden**-0.5, (hidden, att)),
                   "U": r.normal(0, hidden**-0.5, (hidden, att)), "a": r.normal(0, att**-0.5, att), "c": r.normal(0, hidden**-0.5, hidden), "d": np.zeros(1)}
-        self.mean, self.std = np.zeros(dim), np.ones(dim)
+        self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
+        self.mean, self.std = np.zeros(dim, np.float32), np.ones(dim, np.float32)
         self.constant: float | None = None
+        self.n_bags = 0
 
     def forward(self, x: np.ndarray, doc: np.ndarray, n: int) -> dict[str, np.ndarray]:
         p = self.p
@@ -127,73 +147,94 @@ class Model:
     def score(self, x: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
         return np.full(n, self.constant) if self.constant is not None else self.forward(x, doc, n)["s"]
 
-    def fit(self, x: np.ndarray, doc: np.ndarray, y: np.ndarray, rounds: int = 400, rate: float = 0.02, decay: float = 1e-4) -> "Model":
-        n = len(y)
+    def fit(self, x: np.ndarray, doc: np.ndarray, y: np.ndarray, epochs: int = 24, batch: int = 256, rate: float = 0.01, decay: float = 1e-3) -> "Model":
+        """Adam on mini-batches of bags, in a fixed random order; the rate falls to a tenth."""
+        n = self.n_bags = len(y)
         if not n or y.min() == y.max():
             self.constant = float(y.mean()) if n else 0.5
             return self
-        x = x.astype(np.float64)
-        self.mean, self.std = x.mean(0), x.std(0) + 1e-3
-        p = self.p
-        m, v = {k: 0.0 for k in p}, {k: 0.0 for k in p}
-        for i in range(1, rounds + 1):
-            f = self.forward(x, doc, n)
-            ds = (f["s"] - y) / n
-            grad = {"c": f["z"].T @ ds, "d": np.array([ds.sum()])}
-            dz = ds[:, None] * p["c"]
-            dw = (f["h"] * dz[doc]).sum(1)
-            first = np.searchsorted(doc, np.arange(n))
-            de = f["w"] * (dw - np.add.reduceat(f["w"] * dw, first)[doc])
-            q = f["t"] * f["g"]
-            grad["a"] = q.T @ de
-            dq = de[:, None] * p["a"]
-            dt, dg = dq * f["g"] * (1 - f["t"] ** 2), dq * f["t"] * f["g"] * (1 - f["g"])
-            grad["V"], grad["U"] = f["h"].T @ dt, f["h"].T @ dg
-            dh = (f["w"][:, None] * dz[doc] + dt @ p["V"].T + dg @ p["U"].T) * (1 - f["h"] ** 2)
-            grad["W"], grad["b"] = f["x"].T @ dh, dh.sum(0)
-            for k in p:
-                gk = grad[k] + decay * p[k]
-                m[k], v[k] = 0.9 * m[k] + 0.1 * gk, 0.999 * v[k] + 0.001 * gk**2
-                p[k] = p[k] - rate * (m[k] / (1 - 0.9**i)) / (np.sqrt(v[k] / (1 - 0.999**i)) + 1e-8)
+        self.mean, self.std = (a.astype(np.float32) for a in (x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64) + 1e-3))
+        y = y.astype(np.float32)
+        first = np.searchsorted(doc, np.arange(n + 1))
+        rng = np.random.default_rng(3)
+        m, v = {k: 0.0 for k in self.p}, {k: 0.0 for k in self.p}
+        i, steps = 0, epochs * -(-n // batch)
+        for _ in range(epochs):
+            order = rng.permutation(n)
+            for lo in range(0, n, batch):
+                own = order[lo : lo + batch]
+                size = first[own + 1] - first[own]
+                rows = np.repeat(first[own] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                grad = self._gradient(x[rows], np.repeat(np.arange(len(own)), size), y[own])
+                i += 1
+                now = rate * (1 - 0.9 * i / steps)
+                for k in self.p:
+                    gk = grad[k] + np.float32(decay) * self.p[k]
+                    m[k], v[k] = 0.9 * m[k] + 0.1 * gk, 0.999 * v[k] + 0.001 * gk**2
+                    self.p[k] = (self.p[k] - now * (m[k] / (1 - 0.9**i)) / (np.sqrt(v[k] / (1 - 0.999**i)) + 1e-8)).astype(np.float32)
         return self
 
+    def _gradient(self, x: np.ndarray, doc: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        p, n = self.p, len(y)
+        f = self.forward(x, doc, n)
+        ds = (f["s"] - y) / n
+        grad = {"c": f["z"].T @ ds, "d": np.array([ds.sum()])}
+        dz = ds[:, None] * p["c"]
+        dw = (f["h"] * dz[doc]).sum(1)
+        first = np.searchsorted(doc, np.arange(n))
+        de = f["w"] * (dw - np.add.reduceat(f["w"] * dw, first)[doc])
+        q = f["t"] * f["g"]
+        grad["a"] = q.T @ de
+        dq = de[:, None] * p["a"]
+        dt, dg = dq * f["g"] * (1 - f["t"] ** 2), dq * f["t"] * f["g"] * (1 - f["g"])
+        grad["V"], grad["U"] = f["h"].T @ dt, f["h"].T @ dg
+        dh = (f["w"][:, None] * dz[doc] + dt @ p["V"].T + dg @ p["U"].T) * (1 - f["h"] ** 2)
+        grad["W"], grad["b"] = f["x"].T @ dh, dh.sum(0)
+        return grad
+
+
+def _some(n: int) -> np.ndarray:
+    """Places of at most BAG of a bag's passages, evenly spaced."""
+    return np.arange(n) if n <= BAG else np.arange(BAG) * n // BAG
+
 
 def _bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for ids, docs in X.runs(batches, "doc_id", "text", 4 << 20):
+    for ids, docs in X.runs(batches, "doc_id", "text", 1 << 20):
         f, d = encode(docs)
         cut = np.searchsorted(d, np.arange(len(docs) + 1))
-        yield pd.DataFrame({"doc_id": ids, "bag": [f[cut[k] : cut[k + 1]].astype("<f4").tobytes() for k in range(len(docs))]})
+        yield pd.DataFrame({"doc_id": ids, "bag": [f[cut[k] + _some(cut[k + 1] - cut[k])].astype("<f2").tobytes() for k in range(len(docs))]})
 
 
 def _scorer(model: Model):
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for ids, docs in X.runs(batches, "doc_id", "text", 4 << 20):
+        for ids, docs in X.runs(batches, "doc_id", "text", 1 << 20):
             x, d = encode(docs)
-            yield pd.DataFrame({"doc_id": ids, "score": model.score(x, d, len(docs))})
+            yield pd.DataFrame({"doc_id": ids, "score": model.score(x, d, len(docs)).astype(np.float64)})
 
     return f
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on (doc_id, text) and (doc_id, label); see the module for the bound."""
-    some = labels.filter("doc_id is not null and label is not null").groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
-    some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    ids = [(r.doc_id, r.label) for r in some.collect()]  # SAMPLE_DOCS pairs at most
+    spark = docs.sparkSession
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    some = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("double").alias("label")).filter("doc_id is not null and label is not null")
+    some = some.groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label")).join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
+    ids = [(r.doc_id, r.label) for r in some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()]  # SAMPLE_DOCS pairs at most
     if not ids:
         return Model().fit(np.zeros((0, DIM)), np.zeros(0, np.int64), np.zeros(0))
-    spark = docs.sparkSession
-    chosen = F.broadcast(spark.createDataFrame(ids, "doc_id long, label int"))
-    bags = docs.join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    before = F.sum(F.octet_length(F.coalesce("text", F.lit("")))).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
-    kept = bags.withColumn("upto", before).filter(F.col("upto") <= SAMPLE_BYTES).select("doc_id", "text")
-    got = {r.doc_id: r.bag for r in kept.repartition(scratch.parts(spark), "doc_id").mapInPandas(_bags, "doc_id long, bag binary").collect()}
-    pairs = sorted((i, y) for i, y in ids if i in got)
-    xs = [np.frombuffer(got[i], "<f4").reshape(-1, DIM) for i, _ in pairs]
-    doc = np.repeat(np.arange(len(xs)), [len(x) for x in xs])
-    return Model().fit(np.concatenate([*xs, np.zeros((0, DIM))]), doc, np.array([y for _, y in pairs], float))
+    chosen = F.broadcast(spark.createDataFrame([(i,) for i, _ in ids], "doc_id long"))
+    bags = texts.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    got = {r.doc_id: r.bag for r in bags.repartition(scratch.parts(spark), "doc_id").mapInPandas(_bags, "doc_id long, bag binary").collect()}  # SAMPLE_DOCS bags of BAG passages at most
+    pairs = sorted(ids)
+    size = [len(got[i]) // (2 * DIM) for i, _ in pairs]
+    x = np.frombuffer(b"".join(got.pop(i) for i, _ in pairs), "<f2").reshape(-1, DIM).astype(np.float32)
+    return Model().fit(x, np.repeat(np.arange(len(pairs)), size), np.array([y for _, y in pairs], float))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, score) of every row of (doc_id, text)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInPandas(_scorer(model), "doc_id long, score double")
 
 

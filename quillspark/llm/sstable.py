@@ -5,8 +5,10 @@ block each key is stored as the length of the prefix it shares with the key befo
 the rest, then the number of ids and the ids, in 16 bits where all ids fit, else 32. After
 the blocks come a sparse index (first key, place and checksum of each block), a Bloom filter
 over the keys, and a footer of fixed size, so a lookup reads the footer, asks the filter,
-searches the index by bisection, and reads one block. A file may hold several tables; each
-footer says how long its table is.
+searches the index by bisection, and reads one block. A file holds a few tables; each footer
+says how long its table is, and files are rolled at a fixed number of tables. ``Shards`` looks
+documents up by seeks: it reads the footers of all tables, and then a table's filter and
+index and one block.
 
 Defined cases: null or empty text: the end id alone. A null id: the row is left out. Rows
 that repeat an id: the smallest text stays. Empty table: no tables, empty result. Other
@@ -18,7 +20,8 @@ from __future__ import annotations
 import bisect
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import scratch
-from quillspark.llm.blobs import read_blobs, write_blobs
+from quillspark.llm.blobs import Files, read_blobs, write_blobs
 from quillspark.llm.tokens import encoder, groups
 
 END_ID = 2
@@ -119,21 +122,29 @@ class TableWriter:
 
 
 class Table:
-    """Reads a table; ``get`` looks one document up."""
+    """Reads a table; ``get`` looks one document up. ``read(at, n)`` gives ``n`` bytes from ``at``
+    on in the table, whose ``length`` includes the footer."""
 
-    def __init__(self, data: bytes):
-        self.data = memoryview(data)
-        n, self.n_ids, at, filt, self.hashes, _, self.first, magic = FOOTER.unpack(data[-FOOTER.size :])
+    def __init__(self, read: Callable[[int, int], bytes], length: int):
+        self.read = read
+        n, self.n_ids, at, filt, self.hashes, _, self.first, magic = FOOTER.unpack(read(length - FOOTER.size, FOOTER.size))
         if magic != MAGIC:
             raise ValueError("not a table")
         self.n_docs = n
-        self.index = list(INDEX.iter_unpack(data[at:filt]))
+        known = read(at, length - FOOTER.size - at)
+        self.index = list(INDEX.iter_unpack(known[: filt - at]))
         self.starts = [x[0] for x in self.index]
-        self.filter = np.frombuffer(data[filt : len(data) - FOOTER.size], np.uint8)
+        self.filter = np.frombuffer(known, np.uint8, offset=filt - at)
+
+    @classmethod
+    def of(cls, data: bytes) -> Table:
+        """A table that is in memory as a whole."""
+        view = memoryview(data)
+        return cls(lambda at, n: view[at : at + n], len(data))
 
     def block(self, k: int) -> Iterator[tuple[int, np.ndarray]]:
         _, at, n, crc = self.index[k]
-        b = bytes(self.data[at : at + n])
+        b = bytes(self.read(at, n))
         if zlib.crc32(b) != crc:
             raise ValueError("a block's checksum is wrong")
         i, key = 0, b""
@@ -158,16 +169,39 @@ class Table:
         return next((ids for i, ids in self.block(k) if i == doc_id), None) if k >= 0 else None
 
 
-def tables(content: bytes) -> list[bytes]:
-    """The tables of a file, in order; each is followed by a line feed."""
-    out, end = [], len(content) - 1
+def _backwards(read: Callable[[int, int], bytes], size: int) -> list[tuple[int, int, int]]:
+    """(place, length, first key) of a file's tables, in order; each is followed by a line feed."""
+    out, end = [], size - 1
     while end > 0:
-        size = FOOTER.unpack(content[end - FOOTER.size : end])[5]
-        out.append(content[end - size : end])
-        end -= size + 1
+        x = FOOTER.unpack(read(end - FOOTER.size, FOOTER.size))
+        out.append((end - x[5], x[5], x[6]))
+        end -= x[5] + 1
     return out[::-1]
 
 
+class Shards:
+    """Lookups in written tables by seeks. One entry a table (of some megabytes) is kept."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.files = Files(spark, path)
+        found = [(first, name, at, n) for name, size in self.files.sizes().items() for at, n, first in _backwards(partial(self.files.read, name), size)]
+        self.tables = sorted(found)
+        self.firsts = [x[0] for x in self.tables]
+
+    def get(self, doc_id: int) -> np.ndarray | None:
+        k = bisect.bisect_right(self.firsts, doc_id + _SIGN) - 1
+        if k < 0:
+            return None
+        _, name, at, n = self.tables[k]
+        return Table(lambda i, m: self.files.read(name, at + i, m), n).get(doc_id)
+
+
+def tables(content: bytes) -> list[memoryview]:
+    """The tables of a file, in order."""
+    view = memoryview(content)
+    return [view[at : at + n] for at, n, _ in _backwards(lambda at, n: view[at : at + n], len(content))]
+
+
 def _encode(path: str, keep_space: bool):
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path, keep_space)
@@ -192,7 +226,7 @@ def write_tables(docs: DataFrame, out: str, path: str, keep_space: bool = True,
     spark = docs.sparkSession
     scratch.small_batches(spark)
     d = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    d = scratch.one_row_per_id(d, "doc_id").repartitionByRange(scratch.parts(spark), "doc_id").sortWithinPartitions("doc_id")
+    d = scratch.one_row_per_id(d, "doc_id").repartitionByRange(scratch.parts(spark, docs), "doc_id").sortWithinPartitions("doc_id")
     write_blobs(d.mapInPandas(_encode(path, keep_space), "blob binary"), "blob", out)
 
 
@@ -211,7 +245,7 @@ def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path, content in zip(pdf["path"], pdf["content"]):
             for k, t in enumerate(tables(content)):
                 out, start = [], 0
-                for i, ids in Table(t):
+                for i, ids in Table.of(t):
                     out.append((path, k, i, start, len(ids), ids.tobytes()))
                     start += len(ids)
                     if len(out) >= 1000:

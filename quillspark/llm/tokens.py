@@ -2,7 +2,9 @@
 
 Both vocabularies here split a text into pieces before merging, and no piece spans a
 cut before a single space that a non-space character follows. So a text's ids are its
-chunks' ids in order, and a chunk that comes again needs no second encoding.
+chunks' ids in order, and a chunk that comes again needs no second encoding. Strings of special
+tokens are found by the library before that split, so a text that holds one goes to the
+library as it is, and its ids are the library's.
 """
 
 from __future__ import annotations
@@ -19,8 +21,7 @@ _MARKS = frozenset(",.;:!?")
 
 
 class Encoder:
-    """``encode``: texts to little-endian unsigned 32-bit ids. Strings of special tokens in
-    a text are ordinary text.
+    """``encode``: texts to little-endian unsigned 32-bit ids, as the library gives them.
 
     keep_space: a space belongs to the piece after it (else white space is dropped).
     """
@@ -29,7 +30,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Strings that the library tells apart, and how they begin.
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.begins = {t[:1] for t in self.added} | {t[:1].upper() for t in self.added}
         self.space = " " if keep_space else ""
         self._marks: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}  # by chunk, without the space before it
@@ -57,6 +60,13 @@ class Encoder:
         out.append(now)
         return out
 
+    def special(self, text: str) -> bool:
+        """Whether a special token's string may be in ``text``."""
+        if not any(x in text for x in self.begins):
+            return False
+        low = text.lower()  # chunks are lower-cased, and might become such strings
+        return any(t in low for t in self.added)
+
     def _each(self, chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
@@ -94,6 +104,11 @@ class Encoder:
         return self._marks[c]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        odd = [k for k, t in enumerate(texts) if self.special(t)]
+        if odd:
+            whole = dict(zip(odd, self._each([texts[k] for k in odd])))
+            rest = iter(self.encode([t for k, t in enumerate(texts) if k not in whole]))
+            return [whole[k] if k in whole else next(rest) for k in range(len(texts))]
         known = self.known
         if len(known) > MEMORY:
             known.clear()

@@ -1,10 +1,13 @@
 """WARC archives of captures in global order of URL key and time.
 
 Each input run sorts its captures by URL key (host reversed, then path), time and page, and
-cuts the run at shared range bounds. For each range the sorted runs meet in one k-way
-loser-tree merge, which writes the range's archive records in order: gzip members, one a
-record. Segments are named by range and piece, so archives in order of name give every URL's
-capture history. A hot host is cut by path, time and page like any other keys.
+cuts the run at shared range bounds. A range holds about ``RANGE_BYTES`` of payload, more only
+where there would be over ``MAX_RANGES`` bounds to send. For each range the sorted runs meet in
+one k-way loser-tree merge, which reads them as streams of small packed frames and writes the
+range's archive records in order: gzip members, one a record. Ranges are dealt to tasks in
+order, and a task's files are numbered, so archives in order of name give every URL's capture
+history. A hot host is cut by path, time and page like any other keys. The pages have no
+time of their own; a page's id stands for the seconds since ``EPOCH``.
 
 Of captures with equal payloads of at least ``MIN_REVISIT`` bytes the one with the smallest
 page is the response and the others are revisits of it; smaller payloads are all responses.
@@ -33,8 +36,12 @@ from quillspark.llm.blobs import read_blobs, write_blobs
 from quillspark.llm.merging import LoserTree
 
 MIN_REVISIT = 100
-#: A range's archive is cut into pieces of about this many bytes.
-PIECE = 8 << 20
+#: A range's archive is cut into pieces of about this many bytes; payload of a range, bounds at
+#: most; payload of a run, and bytes of one of its frames.
+PIECE, RANGE_BYTES, MAX_RANGES = 8 << 20, 16 << 20, 1 << 18
+RUN_BYTES, FRAME = 8 << 20, 128 << 10
+#: What a record has besides its payload, about.
+HEAD = 512
 EPOCH = datetime.datetime(2024, 1, 1)
 ROW = ["urlkey", "ts", "page_id", "url", "html", "digest"]
 
@@ -54,23 +61,86 @@ def captures(pages: DataFrame) -> DataFrame:
     return p.select("page_id", "url", "html", F.sha2("html", 256).alias("digest"), url_key(F.col("url")).alias("urlkey"), F.col("page_id").alias("ts"))
 
 
-def responses(caps: DataFrame) -> DataFrame:
-    """(digest, original): the smallest page of each payload that comes again."""
-    big = caps.filter(F.octet_length("html") >= MIN_REVISIT)
+def responses(index: DataFrame) -> DataFrame:
+    """(digest, original): the smallest page of each payload that comes again, from (page_id,
+    digest, size)."""
+    big = index.filter(F.col("size") >= MIN_REVISIT)
     return big.groupBy("digest").agg(F.min("page_id").alias("original"), F.count("*").alias("n")).filter("n > 1").select("digest", "original")
 
 
-def _runs(bounds: list[tuple], kind: int, columns: list[str]):
-    """Sorted runs of ``columns`` (first the key, page last of it), cut at the bounds."""
+def _bounds(size: int):
+    """First keys of stretches of about ``size`` bytes of a sorted partition."""
 
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = size
         for pdf in batches:
-            pdf = pdf.sort_values(["urlkey", "ts", "page_id"], ignore_index=True)
+            out = []
+            for key in zip(pdf["urlkey"].tolist(), pdf["ts"].tolist(), pdf["page_id"].tolist(), pdf["size"].tolist()):
+                if held >= size:
+                    out.append(key[:3])
+                    held = 0
+                held += key[3] + HEAD
+            yield pd.DataFrame(out, columns=["urlkey", "ts", "page_id"])
+
+    return f
+
+
+def range_bounds(index: DataFrame) -> list[tuple]:
+    """Keys at which ranges begin, but for the first range; at most about MAX_RANGES of them."""
+    spark = index.sparkSession
+    total = index.agg(F.coalesce(F.sum(F.col("size") + HEAD), F.lit(0))).first()[0]
+    key = ["urlkey", "ts", "page_id"]
+    some = index.select(*key, "size").repartitionByRange(scratch.parts(spark), *key).sortWithinPartitions(*key)
+    firsts = some.mapInPandas(_bounds(max(RANGE_BYTES, total // MAX_RANGES)), "urlkey string, ts long, page_id long")
+    return sorted((r.urlkey, r.ts, r.page_id) for r in firsts.collect())[1:]  # bounded by MAX_RANGES
+
+
+def _packed(rows: list[tuple]) -> bytes:
+    """Rows in frames of about FRAME bytes, each packed by itself."""
+    out, held, size = [], [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, str)) + 32
+        if size >= FRAME:
+            out.append(zlib.compress(marshal.dumps(held), 1))
+            held, size = [], 0
+    if held:
+        out.append(zlib.compress(marshal.dumps(held), 1))
+    return b"".join(len(x).to_bytes(4, "little") + x for x in out)
+
+
+def _unpacked(run: bytes) -> Iterator[tuple]:
+    at = 0
+    while at < len(run):
+        n = int.from_bytes(run[at : at + 4], "little")
+        yield from marshal.loads(zlib.decompress(run[at + 4 : at + 4 + n]))
+        at += 4 + n
+
+
+def _runs(bounds, tasks: int, kind: int, columns: list[str]):
+    """Sorted runs of ``columns`` (among them the key), cut at the broadcast bounds."""
+
+    def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cuts = bounds.value
+
+        def cut(held: list[pd.DataFrame]) -> pd.DataFrame:
+            pdf = pd.concat(held).sort_values(["urlkey", "ts", "page_id"], ignore_index=True)
             keys = zip(pdf["urlkey"].tolist(), pdf["ts"].tolist(), pdf["page_id"].tolist())
-            pdf.insert(0, "range_id", [bisect.bisect_right(bounds, k) for k in keys])
+            pdf.insert(0, "range_id", [bisect.bisect_right(cuts, k) for k in keys])
+            out = []
             for r, block in pdf.groupby("range_id", sort=True):
-                rows = list(zip(*(block[c].tolist() for c in columns)))
-                yield pd.DataFrame({"range_id": [r], "kind": [kind], "run": [zlib.compress(marshal.dumps(rows), 1)]})
+                out.append((r * tasks // (len(cuts) + 1), r, kind, _packed(list(zip(*(block[c].tolist() for c in columns))))))
+            return pd.DataFrame(out, columns=["task", "range_id", "kind", "run"])
+
+        held, size = [], 0
+        for pdf in batches:
+            held.append(pdf)
+            size += int(pdf["html"].str.len().sum()) if "html" in pdf else 32 * len(pdf)
+            if size >= RUN_BYTES:
+                yield cut(held)
+                held, size = [], 0
+        if sum(map(len, held)):
+            yield cut(held)
 
     return f
 
@@ -95,48 +165,46 @@ REVISITS, CAPTURES = 0, 1
 def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows come by range, each a sorted run. One range's runs are merged at a time."""
 
-    def merged(r: int, original: dict[int, int], runs: list[bytes]) -> Iterator[pd.DataFrame]:
-        out, size, piece = [], 0, 0
-        for _, ts, page, url, html, digest in LoserTree([marshal.loads(zlib.decompress(x)) for x in runs]):
-            out.append(record(page, url, ts, html.encode(), digest, original.get(page)))
+    def merged(original: dict[int, int], runs: list[bytes]) -> Iterator[pd.DataFrame]:
+        out, size = [], 0
+        for _, ts, page, url, html, digest in LoserTree(map(_unpacked, runs)):
+            out.append(record(page, url, ts, html.encode("utf-8", "surrogatepass"), digest, original.get(page)))
             size += len(out[-1])
             if size >= PIECE:
-                yield pd.DataFrame({"segment": [f"{r:07d}-{piece:05d}"], "blob": [b"".join(out)]})
-                out, size, piece = [], 0, piece + 1
+                yield pd.DataFrame({"blob": [b"".join(out)]})
+                out, size = [], 0
         if out:
-            yield pd.DataFrame({"segment": [f"{r:07d}-{piece:05d}"], "blob": [b"".join(out)]})
+            yield pd.DataFrame({"blob": [b"".join(out)]})
 
     now, original, held = None, {}, []
     for pdf in batches:
         for r, kind, run in zip(pdf["range_id"].tolist(), pdf["kind"].tolist(), pdf["run"]):
             if now is not None and r != now:
-                yield from merged(now, original, held)
+                yield from merged(original, held)
                 original, held = {}, []
             now = r
             if kind == REVISITS:
-                original.update(marshal.loads(zlib.decompress(run)))
+                original.update((page, first) for *_, page, first in _unpacked(run))
             else:
                 held.append(run)
     if held:
-        yield from merged(now, original, held)
+        yield from merged(original, held)
 
 
 def write_archives(pages: DataFrame, out: str) -> None:
+    """Archives of ``pages`` in files under ``out``; in order of name they are in global order."""
     spark = pages.sparkSession
-    scratch.small_batches(spark, 2000)
+    scratch.small_batches(spark)
     caps = captures(pages)
-    # range bounds: the first key of each of Spark's range partitions of the keys alone
-    n = scratch.parts(spark)
-    keys = captures(pages.select("page_id", "url", F.lit("").alias("html"))).select("urlkey", "ts", "page_id")
-    firsts = keys.repartitionByRange(n, "urlkey", "ts", "page_id").groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("urlkey", "ts", "page_id")).alias("k"))
-    bounds = sorted((r.k.urlkey, r.k.ts, r.k.page_id) for r in firsts.collect())[1:]  # one row a partition
-    # payloads cross once, with their captures; who revisits whom is settled on the index alone
-    index = caps.filter(F.octet_length("html") >= MIN_REVISIT).select("urlkey", "ts", "page_id", "digest")
-    again = index.join(responses(caps), "digest").filter("page_id <> original").select("urlkey", "ts", "page_id", "original")
-    schema = "range_id int, kind int, run binary"
-    runs = caps.select(*ROW).mapInPandas(_runs(bounds, CAPTURES, ROW), schema).unionByName(again.mapInPandas(_runs(bounds, REVISITS, ["page_id", "original"]), schema))
-    blobs = runs.repartition(n, "range_id").sortWithinPartitions("range_id", "kind").mapInPandas(_merge, "segment string, blob binary")
-    write_blobs(blobs, "blob", out, "segment")
+    # bounds, and who revisits whom, are settled on the index alone; payloads cross once
+    index = scratch.stage(caps.select("urlkey", "ts", "page_id", "digest", F.octet_length("html").cast("long").alias("size")), "index")
+    cuts = range_bounds(index)
+    bounds, tasks = spark.sparkContext.broadcast(cuts), max(1, min(len(cuts) + 1, 4 * scratch.parts(spark, pages)))
+    again = index.filter(F.col("size") >= MIN_REVISIT).join(scratch.stage(responses(index), "responses"), "digest").filter("page_id <> original").select("urlkey", "ts", "page_id", "original")
+    schema = "task int, range_id int, kind int, run binary"
+    runs = caps.select(*ROW).mapInPandas(_runs(bounds, tasks, CAPTURES, ROW), schema).unionByName(again.mapInPandas(_runs(bounds, tasks, REVISITS, ["page_id", "original"]), schema))
+    blobs = runs.repartitionById(tasks, "task").sortWithinPartitions("range_id", "kind").mapInPandas(_merge, "blob binary")
+    write_blobs(blobs, "blob", out)
 
 
 def records(content: bytes, step: int = 1 << 16) -> Iterator[tuple[dict[str, str], bytes]]:
