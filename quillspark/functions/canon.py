@@ -22,8 +22,8 @@ def short_id(c: Column, n: int = 24) -> Column:
 
 
 def canonical_json(**fields: Column) -> Column:
-    """JSON with keys in order and no spaces, for hashing; nulls are omitted."""
-    return F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))))
+    """JSON with keys in order and no spaces, for hashing; nulls are written as such."""
+    return F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))), {"ignoreNullFields": "false"})
 
 
 def stable_hash(**fields: Column) -> Column:
@@ -40,7 +40,7 @@ def weighted_bucket(u: Column, names: Sequence[str], weights: Mapping[str, float
     """First name whose running weight exceeds ``u``; the last one if none does. The running
     sums are taken in order, in double precision. Weights must cover the names and sum to 1."""
     if sorted(weights) != sorted(names) or abs(sum(weights.values()) - 1.0) > 1e-9:
-        raise ValueError("weights must cover the names and sum to 1")
+        raise ValueError(f"need one weight a name, adding up to 1; got {dict(weights)}")
     total, out = 0.0, None
     for n in names:
         total += weights[n]

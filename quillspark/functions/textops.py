@@ -33,36 +33,45 @@ CREDENTIALS = (
 )
 #: Fixed value: references to issues.
 ISSUE_REF = r"\b[A-Z][A-Z0-9]{1,14}-\d{1,7}\b|\b(?:issue|ticket|bug)\s*#?\d{1,6}\b|\bGH-\d{1,6}\b"
-#: Fixed value: lines that a compiler writes.
-DIAGNOSTIC = r"(?i)error\[E\d+\]|error:\s*TS\d+|cannot find (?:symbol|type|value)|undefined (?:identifier|symbol|variable)|mismatched types|(?:SyntaxError|IndentationError):"
+#: Fixed value: lines that a compiler or linker writes.
+DIAGNOSTIC = (r"(?im)error\[E\d+\]|error:\s*TS\d+|\bTS\d{4}\b|^[^\n]*:\d+:\s*(?:fatal\s+)?error:|^error:|cannot find (?:symbol|type|value)"
+              r"|undefined (?:identifier|symbol|variable)|mismatched types|(?:SyntaxError|IndentationError):|\bLNK\d{4}\b")
 #: Languages in order, with file extensions.
 LANGUAGES = {"typescript": "ts tsx mts cts", "javascript": "js jsx mjs cjs", "python": "py pyi pyw", "rust": "rs", "go": "go", "cpp": "cpp cc cxx hpp hh hxx", "sql": "sql", "shell": "sh bash zsh ksh fish"}
 
 
-def redact(text: Column, limit: int = MAX_CHARS) -> tuple[Column, Column, Column]:
-    """(text, hits, kinds) of the first ``limit`` characters with credentials replaced. The text
-    is cut before it is redacted."""
-    out = F.substring(text, 1, limit)
-    hits, kinds = F.lit(0), []
-    for kind, pattern in CREDENTIALS:
+#: What a text must have for any credential pattern to match.
+MAYBE_SECRET = "(?i)sk-|AKIA|ASIA|aws|gh._|github_pat|glpat|xox|AIza|hf_|npm_|PRIVATE KEY|eyJ|bearer|://|key|secret|token|passw|passphrase|[0-9a-f]{64}"
+
+
+def redact(text: Column, limit: int = MAX_CHARS) -> Column:
+    """struct<t, n, kinds>: the first ``limit`` characters with credentials replaced, the number of
+    replacements, and their kinds. The text is cut before it is redacted. A lambda's variable
+    holds each step's text, so the expression is linear in the number of kinds."""
+
+    def step(kind: str, pattern: str):
         p = F.lit("(?U)" + pattern)
-        n = F.regexp_count(out, p)
-        hits = hits + n
-        kinds.append(F.when(n > 0, F.lit(kind)))
-        out = F.regexp_replace(out, p, F.lit(f"[REDACTED:{kind}]"))
-    return out, hits.cast("long"), F.filter(F.array(*kinds), lambda x: x.isNotNull())
+
+        def f(acc: Column) -> Column:
+            n = F.regexp_count(acc["t"], p)
+            new = F.struct(F.regexp_replace(acc["t"], p, F.lit(f"[REDACTED:{kind}]")).alias("t"), (acc["n"] + n).alias("n"), F.concat(acc["kinds"], F.array(F.lit(kind))).alias("kinds"))
+            return F.when(acc["t"].rlike("(?U)" + pattern), new).otherwise(acc)
+
+        return f
+
+    first = F.struct(F.substring(text, 1, limit).alias("t"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("kinds"))
+    out = F.array(first)
+    for kind, pattern in CREDENTIALS:
+        out = F.transform(out, step(kind, pattern))
+    return out[0]
 
 
 def redacted(df: DataFrame, column: str) -> DataFrame:
-    """``df`` with ``<column>_redacted``, ``hits`` and ``kinds``. The steps are nested projections
-    so that each replacement is computed once."""
-    df = df.withColumn("_t", F.substring(F.coalesce(column, F.lit("")), 1, MAX_CHARS)).withColumn("hits", F.lit(0).cast("long")).withColumn("kinds", F.lit(""))
-    secret = "(?i)sk-|AKIA|ASIA|aws|gh._|github_pat|glpat|xox|AIza|hf_|npm_|PRIVATE KEY|eyJ|bearer|://|key|secret|token|passw|passphrase|[0-9a-f]{64}"
-    df = df.withColumn("_r", F.col("_t").rlike(secret))
-    text, hits, kinds = redact(F.col("_t"))
-    none = F.array().cast("array<string>")
-    df = df.withColumn("_o", F.when(F.col("_r"), F.struct(text.alias("t"), hits.alias("n"), kinds.alias("k"))).otherwise(F.struct(F.col("_t").alias("t"), F.lit(0).cast("long").alias("n"), none.alias("k"))))
-    return df.drop("hits", "kinds", "_t", "_r").withColumn(f"{column}_redacted", F.col("_o.t")).withColumn("hits", F.col("_o.n")).withColumn("kinds", F.array_join("_o.k", ",")).drop("_o")
+    """``df`` with ``<column>_redacted``, ``hits`` and ``kinds``; null text is empty."""
+    t = F.coalesce(column, F.lit(""))
+    none = F.struct(F.substring(t, 1, MAX_CHARS).alias("t"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("kinds"))
+    df = df.withColumn("_o", F.when(F.substring(t, 1, MAX_CHARS).rlike(MAYBE_SECRET), redact(t)).otherwise(none))
+    return df.withColumn(f"{column}_redacted", F.col("_o.t")).withColumn("hits", F.col("_o.n").cast("long")).withColumn("kinds", F.array_join("_o.kinds", ",")).drop("_o")
 
 
 def issue_refs(text: Column, pattern: str = ISSUE_REF) -> Column:
@@ -88,10 +97,23 @@ def is_chat_jsonl(text: Column) -> Column:
     return F.coalesce((F.size(lines) >= 2) & ok & role, F.lit(False))
 
 
+#: Rows that stand beside the documents in some queries, so that every rule is met: (id, text).
+PLANTED = [
+    (-1, '{"role":"user","content":"x"}\n\n{"a":1}'), (-2, '{"role":"user","content":"x"}\n[1]'), (-3, '{"role":"user"}\n{"content":"x"}'), (-4, '{"role":"user","content":"x"}'),
+    (-5, "PROJ-12 see issue #9 and PROJ-12, GH-44 or bug 7"), (-6, "src/a.py b.GO c.sql.map lib/x.min.js y.d.ts z.rs run.sh q.cpp"), (-7, "| a | b |\n|---|:-:|\n| 1 | x |\nend"), (-8, "  |only| one|\nno | table"),
+    (-9, "error TS2304: cannot find name"), (-10, "main.c:12: fatal error: stop"), (-11, "error: could not compile"), (-12, "LNK2019 unresolved"), (-13, "see yarn.lock and go.sum"),
+]
+
+
 def _docs(spark, d):
     return table(spark, d, "documents")
 
 
+def with_planted(spark, d):
+    """(doc_id, text) of all documents and the planted rows."""
+    return _docs(spark, d).select(F.col("doc_id").cast("long").alias("doc_id"), "text").unionByName(spark.createDataFrame(PLANTED, "doc_id long, text string"))
+
+
 def q_redact_counts(spark, d):
     r = redacted(_docs(spark, d).select("doc_id", "text"), "text")
     return r.filter("hits > 0").select("doc_id", "hits", "kinds")
@@ -103,8 +125,7 @@ def q_redact_text(spark, d):
 
 
 def q_issue_refs(spark, d):
-    t = F.concat(F.lit("PROJ-"), (F.col("doc_id") % 50).cast("string"), F.lit(" see issue #"), (F.col("doc_id") % 9).cast("string"), F.lit(" and PROJ-"), (F.col("doc_id") % 50).cast("string"))
-    return _docs(spark, d).select("doc_id", F.array_join(issue_refs(t), "|").alias("refs"))
+    return with_planted(spark, d).select("doc_id", F.array_join(issue_refs(F.col("text")), "|").alias("refs"))
 
 
 def q_text_fingerprint(spark, d):
@@ -119,27 +140,23 @@ def q_dup_content(spark, d):
 
 
 def q_diagnostics_flags(spark, d):
-    t = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 5 == 0, "\nerror[E0308]: mismatched types").when(F.col("doc_id") % 7 == 0, "\nyarn.lock").otherwise(""))
-    return _docs(spark, d).select("doc_id", t.rlike(DIAGNOSTIC).alias("diagnostic"), t.rlike(r"package-lock\.json|yarn\.lock|Cargo\.lock|go\.sum").alias("lockfile"))
+    t = F.coalesce("text", F.lit(""))
+    return with_planted(spark, d).select("doc_id", t.rlike(DIAGNOSTIC).alias("diagnostic"), t.rlike(r"package-lock\.json|yarn\.lock|Cargo\.lock|go\.sum").alias("lockfile"))
 
 
 def q_language_detect(spark, d):
-    t = F.concat(F.lit("src/a."), F.element_at(F.array(*(F.lit(x) for x in ("py", "rs", "min.js", "cpp", "txt", "d.ts", "sh"))), (F.col("doc_id") % 7 + 1).cast("int")), F.lit(" b.GO c.sql.map"))
-    return _docs(spark, d).select("doc_id", F.array_join(languages(t), ",").alias("languages"))
+    return with_planted(spark, d).select("doc_id", F.array_join(languages(F.col("text")), ",").alias("languages"))
 
 
 def q_chat_jsonl(spark, d):
-    t = F.when(F.col("doc_id") % 3 == 0, '{"role":"user","content":"x"}\n\n{"a":1}').when(F.col("doc_id") % 3 == 1, '{"role":"user","content":"x"}\n[1]').otherwise(F.col("text"))
-    return _docs(spark, d).select("doc_id", is_chat_jsonl(t).alias("is_chat"))
+    return with_planted(spark, d).select("doc_id", is_chat_jsonl(F.col("text")).alias("is_chat"))
 
 
-def q_secret_scan(spark, d):
-    lines = _docs(spark, d).select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "t"))
-    return lines.filter(F.col("t").rlike("(?i)(?:password|token)['\"]?\\s*[:=]\\s*['\"]?[^\\s'\"]{12,}")).select("doc_id", (F.col("line") + 1).cast("long").alias("line"))
+def q_stable_hash(spark, d):
+    return _docs(spark, d).select("doc_id", canon.stable_hash(source=F.col("source"), lang=F.when(F.col("doc_id") % 3 != 0, F.col("lang")), id=F.col("doc_id")).alias("sha256"))
 
 
-QUERIES = {"redact_counts": q_redact_counts, "redact_text": q_redact_text, "issue_refs": q_issue_refs, "text_fingerprint": q_text_fingerprint, "dup_content": q_dup_content,
-           "diagnostics_flags": q_diagnostics_flags, "language_detect": q_language_detect, "chat_jsonl": q_chat_jsonl, "secret_scan": q_secret_scan}
+QUERIES = {f.__name__[2:]: f for f in (q_redact_counts, q_redact_text, q_issue_refs, q_text_fingerprint, q_dup_content, q_diagnostics_flags, q_language_detect, q_chat_jsonl, q_stable_hash)}
 
 
 def _sql(pattern: str) -> str:
@@ -154,14 +171,27 @@ def _redact_sql() -> str:
     return f"WITH t0 AS (SELECT doc_id, length(text) AS n_chars, substr(coalesce(text, ''), 1, 8192) AS t, 0 AS hits, []::VARCHAR[] AS kinds FROM documents), {', '.join(steps)}, r AS (SELECT * FROM {last})"
 
 
+def planted_sql() -> str:
+    rows = ", ".join(f"({i}, '{_sql(t)}')" for i, t in PLANTED)
+    return f"p AS (SELECT doc_id, coalesce(text, '') AS t FROM documents UNION ALL SELECT doc_id::BIGINT, t FROM (VALUES {rows}) v(doc_id, t))"
+
+
+def _languages_sql() -> str:
+    tests = ", ".join(f"CASE WHEN list_has_any(x, {ext.split()}) THEN '{lang}' END" for lang, ext in LANGUAGES.items())
+    return (f"WITH {planted_sql()}, b AS (SELECT doc_id, regexp_replace(t, '\\.(?:min|bundle|d)\\.[A-Za-z][A-Za-z0-9]*', '', 'g') AS t FROM p), "
+            f"x AS (SELECT doc_id, [lower(regexp_extract(m, '[A-Za-z0-9]+')) for m in regexp_extract_all(t, '\\.[A-Za-z][A-Za-z0-9]{{0,7}}\\b(?:\\.map)?') if NOT ends_with(m, '.map') OR m = '.map'] AS x FROM b), "
+            f"l AS (SELECT doc_id, [y for y in [{tests}] if y IS NOT NULL] AS l FROM x) SELECT doc_id, CASE WHEN len(l) > 0 THEN array_to_string(l, ',') END AS languages FROM l")
+
+
 ORACLE_SQL = {
     "redact_counts": _redact_sql() + " SELECT doc_id, hits::BIGINT AS hits, array_to_string(kinds, ',') AS kinds FROM r WHERE hits > 0",
     "redact_text": _redact_sql() + " SELECT doc_id, sha256(t) AS redacted_sha256, n_chars AS text_chars FROM r",
-    "issue_refs": "SELECT doc_id, least('PROJ-' || doc_id % 50, 'issue #' || doc_id % 9) || '|' || greatest('PROJ-' || doc_id % 50, 'issue #' || doc_id % 9) AS refs FROM documents",
+    "issue_refs": f"WITH {planted_sql()} SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '{ISSUE_REF}'))), '|') AS refs FROM p",
     "text_fingerprint": "SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, substr(sha256(coalesce(text, '')), 1, 16) AS short_id, length(coalesce(text, ''))::BIGINT AS chars FROM documents",
     "dup_content": "SELECT doc_id, min(doc_id) OVER (PARTITION BY source, sha256(coalesce(text, ''))) < doc_id AS seen_before FROM documents",
-    "diagnostics_flags": f"WITH d AS (SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 5 = 0 THEN chr(10) || 'error[E0308]: mismatched types' WHEN doc_id % 7 = 0 THEN chr(10) || 'yarn.lock' ELSE '' END AS t FROM documents) SELECT doc_id, regexp_matches(t, '{DIAGNOSTIC}') AS diagnostic, regexp_matches(t, 'package-lock\\.json|yarn\\.lock|Cargo\\.lock|go\\.sum') AS lockfile FROM d",
-    "language_detect": "SELECT doc_id, ['python,go', 'rust,go', 'go', 'go,cpp', 'go', 'go', 'go,shell'][doc_id % 7 + 1] AS languages FROM documents",
-    "chat_jsonl": "SELECT doc_id, doc_id % 3 = 0 AS is_chat FROM documents",
-    "secret_scan": "SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS t, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS line FROM documents) WHERE regexp_matches(t, '(?i)(?:password|token)[''\"]?\\s*[:=]\\s*[''\"]?[^\\s''\"]{12,}')",
+    "diagnostics_flags": f"WITH {planted_sql()} SELECT doc_id, regexp_matches(t, '{DIAGNOSTIC}') AS diagnostic, regexp_matches(t, 'package-lock\\.json|yarn\\.lock|Cargo\\.lock|go\\.sum') AS lockfile FROM p",
+    "language_detect": _languages_sql(),
+    "chat_jsonl": f"""WITH {planted_sql()}, l AS (SELECT doc_id, [x for x in string_split(t, chr(10)) if trim(x) <> ''] AS l FROM p), o AS (SELECT doc_id, len(l) AS n, len([x for x in l if json_valid(x) AND x LIKE '{{%']) AS good,
+  len([x for x in l if json_valid(x) AND x LIKE '{{%' AND json_extract_string(CASE WHEN json_valid(x) THEN x ELSE '{{}}' END, '$.role') IS NOT NULL AND json_extract_string(CASE WHEN json_valid(x) THEN x ELSE '{{}}' END, '$.content') IS NOT NULL]) AS chat FROM l) SELECT doc_id, n >= 2 AND good = n AND chat > 0 AS is_chat FROM o""",
+    "stable_hash": """SELECT doc_id, sha256('{"id":' || doc_id || ',"lang":' || coalesce(CASE WHEN doc_id % 3 <> 0 THEN '"' || lang || '"' END, 'null') || ',"source":' || coalesce('"' || source || '"', 'null') || '}') AS sha256 FROM documents""",
 }

@@ -206,13 +206,21 @@ def q_head_before_op(spark, d):
     return e.join(op, "session", "left").filter("type = 'user' and (op_seq is null or seq < op_seq)").groupBy("session").agg(F.min_by("sha", "seq").alias("head"))
 
 
+def linked(sessions: DataFrame, keys: list[str]) -> DataFrame:
+    """(target, session, rule): pairs of sessions that share a key; the first key in order that they
+    share is the rule. One equi-join a key, on written keys."""
+    out = None
+    for n, k in enumerate(keys, 1):
+        a = sessions.filter(F.col(k).isNotNull()).select(F.col("session").alias("target"), k)
+        one = a.join(sessions.select("session", k), k).filter("target <> session").select("target", "session", F.lit(n).cast("long").alias("rule"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("target", "session").agg(F.min("rule").alias("rule"))
+
+
 def q_linked_sessions(spark, d):
-    """Links by equal content hash, else by equal nation-like key: the first rule that holds."""
-    s = _events(spark, d).filter("type = 'user'").groupBy("session").agg(F.min_by("sha", "seq").alias("sha"))
-    t = s.filter("session % 10 = 0").select(F.col("session").alias("target"), F.col("sha").alias("target_sha"))
-    by_sha = t.join(s, F.col("sha") == F.col("target_sha")).select("target", "session", F.lit(1).alias("rule"))
-    by_key = t.withColumn("k", F.col("target") % 25).join(s.withColumn("k", F.col("session") % 25), "k").select("target", "session", F.lit(2).alias("rule"))
-    return by_sha.unionByName(by_key).filter("target <> session").groupBy("target", "session").agg(F.min("rule").cast("long").alias("rule"))
+    """Sessions linked by the content of their first user event, else by the second it came in."""
+    s = _events(spark, d).filter("type = 'user'").groupBy("session").agg(F.min_by("sha", "seq").alias("sha"), F.min_by("ts", "seq").alias("ts"))
+    return linked(s.select("session", "sha", F.date_trunc("hour", "ts").alias("hour")), ["sha", "hour"])
 
 
 def q_conv_turns(spark, d):
@@ -223,7 +231,7 @@ def q_conv_turns(spark, d):
 QUERIES = {f.__name__[2:]: f for f in (q_event_seq, q_correlate_positional, q_unmatched, q_episodes, q_episode_rollup, q_recovered, q_spam_verif, q_episode_weight, q_difficulty, q_capabilities, q_primary_tag,
                                        q_discovery_summary, q_async_followup, q_error_handled, q_head_before_op, q_linked_sessions, q_conv_turns)}
 
-_E = """e AS (SELECT user_id AS session, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::BIGINT AS seq, event_id, value, sha256(props) AS sha,
+_E = """e AS (SELECT user_id AS session, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::BIGINT AS seq, event_id, ts, value, sha256(props) AS sha,
   CASE WHEN event_type = 'signup' THEN 'user' WHEN event_type IN ('view', 'click') THEN 'tool_call' ELSE 'tool_result' END AS type,
   CASE event_type WHEN 'view' THEN 'read' WHEN 'click' THEN 'bash' WHEN 'purchase' THEN 'read' WHEN 'error' THEN 'bash' END AS tool, event_type = 'error' AS is_error FROM events)"""
 _M = _E + """, c AS (SELECT *, row_number() OVER (PARTITION BY session, tool ORDER BY seq) AS k FROM e WHERE type = 'tool_call'),
@@ -252,6 +260,6 @@ ORACLE_SQL = {
     "async_followup": f"WITH {_E}, f AS (SELECT *, first(CASE WHEN type = 'tool_result' THEN event_id END IGNORE NULLS) OVER (PARTITION BY session ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS followup FROM e) SELECT session, seq, followup FROM f WHERE type = 'tool_call'",
     "error_handled": f"WITH {_E}, f AS (SELECT *, max(CASE WHEN type = 'user' THEN seq END) OVER (PARTITION BY session) AS lu FROM e) SELECT session, count(*) AS errors, count(*) FILTER (WHERE lu > seq) AS handled FROM f WHERE is_error GROUP BY session",
     "head_before_op": f"WITH {_E}, o AS (SELECT session, min(seq) AS op_seq FROM e WHERE tool = 'bash' AND type = 'tool_call' GROUP BY session) SELECT session, arg_min(sha, seq) AS head FROM e LEFT JOIN o USING (session) WHERE type = 'user' AND (op_seq IS NULL OR seq < op_seq) GROUP BY session",
-    "linked_sessions": f"WITH {_E}, s AS (SELECT session, arg_min(sha, seq) AS sha FROM e WHERE type = 'user' GROUP BY session) SELECT t.session AS target, s.session, CASE WHEN t.sha = s.sha THEN 1 ELSE 2 END::BIGINT AS rule FROM s t JOIN s ON t.session % 10 = 0 AND t.session <> s.session AND (t.sha = s.sha OR t.session % 25 = s.session % 25)",
+    "linked_sessions": f"WITH {_E}, s AS (SELECT session, arg_min(sha, seq) AS sha, date_trunc('hour', arg_min(ts, seq)) AS h FROM e WHERE type = 'user' GROUP BY session) SELECT t.session AS target, s.session, CASE WHEN t.sha = s.sha THEN 1 ELSE 2 END::BIGINT AS rule FROM s t JOIN s ON t.session <> s.session AND (t.sha = s.sha OR t.h = s.h)",
     "conv_turns": "SELECT conv_id, count(*) AS n_turns, count(*) FILTER (WHERE role = 'user') AS user_turns, arg_max(role, turn) AS last_role FROM conversations GROUP BY conv_id",
 }

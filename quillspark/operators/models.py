@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions import canon
+from quillspark.functions.textops import planted_sql, with_planted
 from quillspark.plans.tables import table
 
 
@@ -26,26 +26,35 @@ def coactivation(routing: DataFrame) -> DataFrame:
     return routing.select("layer", F.explode("selected").alias("i"), "selected").select("layer", "i", F.explode("selected").alias("j")).groupBy("layer", "i", "j").agg(F.count("*").alias("n"))
 
 
+def pair_statistics(routing: DataFrame) -> DataFrame:
+    """(layer, i, j, n, s): tokens that experts i and j serve together, and the sum of the products
+    of what each adds (gate times norm); ``routing`` has (layer, selected, added)."""
+    each = routing.select("layer", F.arrays_zip("selected", "added").alias("x"))
+    both = each.select("layer", F.explode("x").alias("a"), "x").select("layer", "a", F.explode("x").alias("b"))
+    return both.groupBy("layer", F.col("a.selected").alias("i"), F.col("b.selected").alias("j")).agg(F.count("*").alias("n"), F.sum(F.col("a.added") * F.col("b.added")).alias("s"))
+
+
 def conditional_f(pairs: DataFrame) -> DataFrame:
-    """(layer, i, j, f): share of i's tokens that j serves too."""
-    own = pairs.filter("i = j").select("layer", "i", F.col("n").alias("own"))
-    return pairs.join(own, ["layer", "i"]).select("layer", "i", "j", (F.col("n") / F.col("own")).alias("f"))
+    """(layer, i, j, f): mean product of two experts over the tokens that both serve."""
+    return pairs.select("layer", "i", "j", (F.col("s") / F.col("n")).alias("f"))
 
 
-def exhaustive_select(pairs: DataFrame, experts: int, keep: int) -> DataFrame:
-    """(layer, objective, chosen, ties): of all subsets of ``keep`` experts (at most 16 in all) the
-    one with the largest total co-activation, ties to the lexicographically smallest list."""
+def exhaustive_select(matrix: DataFrame, experts: int, budget: int) -> DataFrame:
+    """(layer, objective, pruned, ties): of all subsets of ``budget`` experts (at most 16 in all) the
+    one whose entries of (layer, i, j, f) have the least sum, ties to the lexicographically
+    smallest list. Absent entries are 0."""
     if experts > 16:
         raise ValueError("exhaustive selection takes at most 16 experts")
-    spark = pairs.sparkSession
-    masks = spark.range(1 << experts).filter(F.bit_count("id") == keep).select(F.col("id").alias("mask"))
+    spark = matrix.sparkSession
+    masks = spark.range(1 << experts).filter(F.bit_count("id") == budget).select(F.col("id").alias("mask"))
     bits = masks.select("mask", F.explode(F.sequence(F.lit(0), F.lit(experts - 1))).alias("i")).filter("shiftright(mask, i) & 1 = 1")
-    member = bits.groupBy("mask").agg(F.array_sort(F.collect_list("i")).alias("chosen"))
-    both = bits.withColumnRenamed("i", "j").join(bits, "mask")  # keep*keep rows a subset
-    total = both.join(pairs, ["i", "j"]).groupBy("layer", "mask").agg(F.sum("n").alias("objective"))
-    total = total.join(member, "mask")
-    best = total.groupBy("layer").agg(F.max("objective").alias("best"))
-    return total.join(best, "layer").filter("objective = best").groupBy("layer", "objective").agg(F.min("chosen").alias("chosen"), F.count("*").alias("ties"))
+    member = bits.groupBy("mask").agg(F.array_sort(F.collect_list("i")).alias("pruned"))
+    cells = bits.withColumnRenamed("i", "j").join(bits, "mask")  # budget * budget rows a subset
+    total = cells.join(matrix, ["i", "j"]).groupBy("layer", "mask").agg(F.sum("f").alias("objective"))
+    layers = matrix.select("layer").distinct()
+    every = masks.crossJoin(layers).join(total, ["layer", "mask"], "left").withColumn("objective", F.coalesce("objective", F.lit(0))).join(member, "mask")  # at most 12,870 subsets a layer
+    best = every.groupBy("layer").agg(F.min("objective").alias("best"))
+    return every.join(best, "layer").filter("objective = best").groupBy("layer", "objective").agg(F.min("pruned").alias("pruned"), F.count("*").alias("ties"))
 
 
 def over_quota(pool: DataFrame, key: str, cap: float) -> DataFrame:
@@ -101,36 +110,41 @@ def swap_descent(weights: dict[tuple[int, int], float], experts: int, chosen: li
 # --- queries ------------------------------------------------------------------------------
 
 EXPERTS, ACTIVE = 16, 4
+#: Buckets of Jaccard indices; each begins above its number, the first is exact.
+JACCARD = (("1.0", 1.0), ("0.9-1.0", 0.9), ("0.75-0.9", 0.75), ("0.5-0.75", 0.5), ("0.25-0.5", 0.25), ("0.0-0.25", 0.0))
 
 
 def _routing(spark, d):
-    e = table(spark, d, "embeddings").select(F.col("label").alias("layer"), F.col("vec_id").alias("token"), F.transform(F.slice("embedding", 1, EXPERTS), lambda x: x.cast("double")).alias("scores"))
-    return e.withColumn("selected", topk(F.col("scores"), ACTIVE))
+    """Each vector's numbers as the scores of 16 experts in each of four layers of its label."""
+    e = table(spark, d, "embeddings").select("label", F.col("vec_id").alias("token"), F.transform("embedding", lambda x: x.cast("double")).alias("v"), F.explode(F.sequence(F.lit(0), F.floor((F.size("embedding") - 1) / EXPERTS).cast("int"))).alias("g"))
+    e = e.select((F.col("label") * 4 + F.col("g")).alias("layer"), "token", F.slice("v", F.col("g") * EXPERTS + 1, EXPERTS).alias("scores"))
+    e = e.withColumn("selected", topk(F.col("scores"), ACTIVE)).withColumn("gates", softmax_gates(F.col("scores"), F.col("selected")))
+    return e.withColumn("added", F.zip_with("gates", "selected", lambda g, i: g * F.abs(F.get("scores", i))))
 
 
 def q_routing_topk(spark, d):
-    r = _routing(spark, d)
-    r = r.withColumn("max_gate", F.round(F.array_max(softmax_gates(F.col("scores"), F.col("selected"))), 6))
+    r = _routing(spark, d).withColumn("max_gate", F.round(F.array_max("gates"), 6))
     return r.select("token", "layer", F.array_join(F.transform("selected", lambda x: x.cast("string")), ",").alias("selected"), "max_gate")
 
 
 def q_coactivation(spark, d):
-    return coactivation(_routing(spark, d)).select("layer", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "n")
+    return pair_statistics(_routing(spark, d)).select("layer", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "n", F.round("s", 6).alias("pair_sum"))
 
 
 def q_conditional_f(spark, d):
-    return conditional_f(coactivation(_routing(spark, d))).select("layer", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "f")
+    return conditional_f(pair_statistics(_routing(spark, d))).select("layer", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.round("f", 6).alias("f"))
 
 
 def q_first_order(spark, d):
-    r = _routing(spark, d).select("layer", "scores", F.explode("selected").alias("i"))
-    return r.groupBy("layer", "i").agg(F.count("*").alias("n"), F.round(F.sum(F.get("scores", F.col("i"))), 6).alias("mass")).select("layer", F.col("i").cast("long").alias("i"), "n", "mass")
+    """Derived means of each expert over the tokens it serves."""
+    r = _routing(spark, d)
+    x = r.select("layer", F.explode(F.arrays_zip("selected", "added", "gates")).alias("x")).select("layer", "x.*")
+    return x.groupBy("layer", F.col("selected").cast("long").alias("i")).agg(F.count("*").alias("n"), F.round(F.avg("added"), 6).alias("first_order"), F.round(F.avg("gates"), 6).alias("mean_gate"))
 
 
 def q_exhaustive_select(spark, d):
-    p = coactivation(_routing(spark, d)).filter("i < 8 and j < 8")
-    x = exhaustive_select(p, 8, 4)
-    return x.select("layer", "objective", F.array_join(F.transform("chosen", lambda v: v.cast("string")), ",").alias("chosen"), "ties")
+    f = conditional_f(pair_statistics(_routing(spark, d))).withColumn("f", F.round(F.col("f") * 10000).cast("long"))
+    return exhaustive_select(f, EXPERTS, EXPERTS // 2).select("layer", "objective", F.array_join(F.transform("pruned", lambda v: v.cast("string")), ",").alias("pruned"), "ties")
 
 
 def _ranks(spark, d):
@@ -201,9 +215,11 @@ def q_selection_compare(spark, d):
 
 def q_jaccard_hist(spark, d):
     j = q_selection_compare(spark, d).withColumn("j", F.col("both") / (F.col("both") + F.col("only_a") + F.col("only_b")))
-    bucket = F.when(F.col("j") == 1, "identical").when(F.col("j") >= 0.75, "high").when(F.col("j") >= 0.5, "medium").otherwise("low")
-    dim = spark.createDataFrame([(b,) for b in ("identical", "high", "medium", "low")], "bucket string")
-    return dim.join(j.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")), "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"))
+    bucket = F.when(F.col("j") == 1, "1.0")
+    for name, low in JACCARD[1:-1]:
+        bucket = bucket.when(F.col("j") > low, name)
+    dim = spark.createDataFrame([(b,) for b, _ in JACCARD], "bucket string")
+    return dim.join(j.groupBy(bucket.otherwise(JACCARD[-1][0]).alias("bucket")).agg(F.count("*").alias("n")), "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def q_pair_evidence(spark, d):
@@ -291,16 +307,16 @@ def markdown_rows(text: Column) -> Column:
 
 
 def q_markdown_tables(spark, d):
-    t = F.concat(F.lit("| a | b |\n|---|:-:|\n| "), F.col("doc_id").cast("string"), F.lit(" | x |\nend"))
-    r = table(spark, d, "documents").select("doc_id", F.posexplode(markdown_rows(t)).alias("row", "cells"))
+    r = with_planted(spark, d).select("doc_id", F.posexplode(markdown_rows(F.col("text"))).alias("row", "cells"))
     return r.select("doc_id", F.col("row").cast("long").alias("row"), F.array_join("cells", "/").alias("cells"))
 
 
 QUERIES = {k[2:]: f for k, f in list(globals().items()) if k.startswith("q_")}
 
-_R = """s AS (SELECT label AS layer, vec_id AS token, embedding[i + 1]::DOUBLE AS score, i::BIGINT AS i FROM embeddings, range(0, 16) t(i)),
-k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY score DESC, i) AS rn FROM s) WHERE rn <= 4),
-p AS (SELECT a.layer, a.i, b.i AS j, count(*) AS n FROM k a JOIN k b USING (token) GROUP BY ALL)"""
+_R = """s AS (SELECT label * 4 + i // 16 AS layer, vec_id AS token, embedding[i + 1]::DOUBLE AS score, (i % 16)::BIGINT AS i FROM embeddings, range(0, 64) t(i)),
+q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY token, layer ORDER BY score DESC, i) AS rn FROM s) WHERE rn <= 4),
+k AS (SELECT *, exp(score) / sum(exp(score)) OVER (PARTITION BY token, layer) AS gate FROM q),
+p AS (SELECT a.layer, a.i, b.i AS j, count(*) AS n, sum(a.gate * abs(a.score) * b.gate * abs(b.score)) AS s FROM k a JOIN k b USING (token, layer) GROUP BY ALL)"""
 _T = "t AS (SELECT l_partkey % 12 AS layer, l_suppkey % 16 AS expert, sum(l_quantity)::BIGINT AS bytes, count(*) AS tensors FROM lineitem GROUP BY ALL)"
 _MAPS = """g AS (SELECT p_partkey % 10 AS layer, p_size % 16 AS expert, count(*) AS n FROM part GROUP BY ALL),
 m AS (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY n DESC, expert) <= 10 AS in_a, row_number() OVER (PARTITION BY layer ORDER BY n, expert) <= 10 AS in_b FROM g),
@@ -308,13 +324,14 @@ c AS (SELECT layer, count(*) FILTER (WHERE in_a AND in_b) AS "both", count(*) FI
 _P = "p AS (SELECT c_custkey AS id, c_nationkey AS pool, trunc(greatest(c_acctbal, 0))::BIGINT AS bytes, max(o_orderdate) AS la, c_custkey % 4 AS priority FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY ALL)"
 _I = "x AS (SELECT user_id % 20 AS kernel, event_type AS op, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS idx FROM events)"
 ORACLE_SQL = {
-    "routing_topk": f"WITH {_R} SELECT token, layer, string_agg(i::VARCHAR, ',' ORDER BY i) AS selected, round(max(exp(score)) / sum(exp(score)), 6) AS max_gate FROM k GROUP BY token, layer",
-    "coactivation": f"WITH {_R} SELECT layer, i, j, n FROM p",
-    "conditional_f": f"WITH {_R} SELECT p.layer, p.i, p.j, p.n / o.n AS f FROM p JOIN p o ON o.layer = p.layer AND o.i = p.i AND o.j = p.i",
-    "first_order": f"WITH {_R} SELECT layer, i, count(*) AS n, round(sum(score), 6) AS mass FROM k GROUP BY layer, i",
-    "exhaustive_select": f"""WITH {_R}, b AS (SELECT mask, i::BIGINT AS i FROM range(0, 256) m(mask), range(0, 8) t(i) WHERE bit_count(mask) = 4 AND (mask >> i) & 1 = 1),
-l AS (SELECT mask, list(i ORDER BY i) AS chosen FROM b GROUP BY mask), o AS (SELECT p.layer, x.mask, sum(n)::BIGINT AS objective FROM b x JOIN b y USING (mask) JOIN p ON p.i = x.i AND p.j = y.i GROUP BY ALL),
-q AS (SELECT *, max(objective) OVER (PARTITION BY layer) AS best FROM o JOIN l USING (mask)) SELECT layer, objective, array_to_string(min(chosen), ',') AS chosen, count(*) AS ties FROM q WHERE objective = best GROUP BY layer, objective""",
+    "routing_topk": f"WITH {_R} SELECT token, layer, string_agg(i::VARCHAR, ',' ORDER BY i) AS selected, round(max(gate), 6) AS max_gate FROM k GROUP BY token, layer",
+    "coactivation": f"WITH {_R} SELECT layer, i, j, n, round(s, 6) AS pair_sum FROM p",
+    "conditional_f": f"WITH {_R} SELECT layer, i, j, round(s / n, 6) AS f FROM p",
+    "first_order": f"WITH {_R} SELECT layer, i, count(*) AS n, round(avg(gate * abs(score)), 6) AS first_order, round(avg(gate), 6) AS mean_gate FROM k GROUP BY layer, i",
+    "exhaustive_select": f"""WITH {_R}, f AS (SELECT layer, i, j, round(s / n * 10000)::BIGINT AS f FROM p), m AS (SELECT mask FROM range(0, 65536) m(mask) WHERE bit_count(mask) = 8), b AS (SELECT mask, i::BIGINT AS i FROM m, range(0, 16) t(i) WHERE (mask >> i) & 1 = 1),
+l AS (SELECT mask, list(i ORDER BY i) AS pruned FROM b GROUP BY mask), o AS (SELECT f.layer, x.mask, sum(f)::BIGINT AS objective FROM b x JOIN b y USING (mask) JOIN f ON f.i = x.i AND f.j = y.i GROUP BY ALL),
+e AS (SELECT c.layer, l.mask, pruned, coalesce(objective, 0) AS objective FROM l CROSS JOIN (SELECT DISTINCT layer FROM f) c LEFT JOIN o ON o.layer = c.layer AND o.mask = l.mask), z AS (SELECT *, min(objective) OVER (PARTITION BY layer) AS best FROM e)
+SELECT layer, objective, array_to_string(min(pruned), ',') AS pruned, count(*) AS ties FROM z WHERE objective = best GROUP BY layer, objective""",
     "diag_topk": f"WITH {_R} SELECT layer, i, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY n DESC, i) AS rank FROM p WHERE i = j) WHERE rank <= 4",
     "convergence": f"""WITH {_R}, a AS (SELECT layer, i, row_number() OVER (PARTITION BY layer ORDER BY count(*) DESC, i) AS ra FROM k WHERE token % 2 = 0 GROUP BY layer, i), b AS (SELECT layer, i, row_number() OVER (PARTITION BY layer ORDER BY count(*) DESC, i) AS rb FROM k GROUP BY layer, i),
 g AS (SELECT layer, count(*) AS n, sum((ra - rb) * (ra - rb))::BIGINT AS d2 FROM b JOIN a USING (layer, i) GROUP BY layer) SELECT layer, n, d2, CASE WHEN n > 1 THEN 1 - 6 * d2 / (n * (n * n - 1)) END AS rho FROM g""",
@@ -326,7 +343,8 @@ SELECT *, coalesce(sum(out_bytes) OVER (PARTITION BY shard ORDER BY out_name ROW
     "prune_map": f"WITH {_T} SELECT layer, expert, row_number() OVER (PARTITION BY layer ORDER BY expert) - 1 AS new_id FROM t WHERE expert % 4 <> layer % 4",
     "memory_whatif": f"WITH {_T}, g AS (SELECT layer, sum(bytes) AS total, count(*) AS experts FROM t GROUP BY layer) SELECT layer, keep::BIGINT AS keep, floor(total * keep / experts)::BIGINT AS bytes FROM g, (VALUES (12), (10), (8)) v(keep)",
     "selection_compare": f"WITH {_MAPS} SELECT * FROM c",
-    "jaccard_hist": f"""WITH {_MAPS}, j AS (SELECT CASE WHEN only_a + only_b = 0 THEN 'identical' WHEN "both" / ("both" + only_a + only_b) >= 0.75 THEN 'high' WHEN "both" / ("both" + only_a + only_b) >= 0.5 THEN 'medium' ELSE 'low' END AS bucket FROM c) SELECT b.bucket, count(j.bucket) AS n FROM (VALUES ('identical'), ('high'), ('medium'), ('low')) b(bucket) LEFT JOIN j USING (bucket) GROUP BY b.bucket""",
+    "jaccard_hist": f"""WITH {_MAPS}, j AS (SELECT "both" / ("both" + only_a + only_b) AS j FROM c), x AS (SELECT CASE WHEN j = 1 THEN '1.0' WHEN j > 0.9 THEN '0.9-1.0' WHEN j > 0.75 THEN '0.75-0.9' WHEN j > 0.5 THEN '0.5-0.75' WHEN j > 0.25 THEN '0.25-0.5' ELSE '0.0-0.25' END AS bucket FROM j)
+SELECT b.bucket, count(x.bucket) AS n FROM (VALUES ('1.0'), ('0.9-1.0'), ('0.75-0.9'), ('0.5-0.75'), ('0.25-0.5'), ('0.0-0.25')) b(bucket) LEFT JOIN x USING (bucket) GROUP BY b.bucket""",
     "pair_evidence": f"WITH {_MAPS} SELECT a.layer, CASE WHEN a.in_a AND b.in_a THEN 'kept' WHEN a.in_a OR b.in_a THEN 'split' ELSE 'dropped' END AS state, count(*) AS n FROM m a JOIN m b ON a.layer = b.layer AND a.expert = (b.expert + 1) % 16 GROUP BY ALL",
     "precision_ref": "WITH g AS (SELECT p_partkey % 10 AS layer, p_size % 4 * 2 + 2 AS bits, count(*) AS n FROM part GROUP BY ALL) SELECT layer, arg_min(bits, row(-n, bits))::BIGINT AS modal_bits, sum(n)::BIGINT AS projections FROM g GROUP BY layer",
     "lru_evict": f"WITH {_P} SELECT id, sum(bytes) OVER (PARTITION BY pool) - coalesce(sum(bytes) OVER (PARTITION BY pool ORDER BY la, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 100000 AS evict FROM p",
@@ -337,5 +355,6 @@ SELECT *, coalesce(sum(out_bytes) OVER (PARTITION BY shard ORDER BY out_name ROW
     "snapshot_put": "SELECT source, sha256(coalesce(text, '')) AS digest, max(doc_id) AS generation, max(octet_length(encode(coalesce(text, ''))))::BIGINT AS size, count(*) AS puts FROM documents GROUP BY ALL",
     "artifact_verify": "SELECT CASE WHEN doc_id % 7 = 0 THEN 'missing' WHEN doc_id % 11 = 0 THEN 'extra' WHEN doc_id % 13 = 0 THEN 'altered' ELSE 'ok' END AS state, count(*) AS n FROM documents WHERE NOT (doc_id % 7 = 0 AND doc_id % 11 = 0) GROUP BY 1",
     "schema_violations": "SELECT * FROM (SELECT doc_id, concat_ws(',', CASE WHEN NOT coalesce(lang IN ('en', 'fr', 'de'), false) THEN 'lang' END, CASE WHEN NOT coalesce(n_chars BETWEEN 100 AND 20000, false) THEN 'n_chars' END) AS violations FROM documents) WHERE violations <> ''",
-    "markdown_tables": "SELECT doc_id, 0::BIGINT AS row, 'a/b' AS cells FROM documents UNION ALL SELECT doc_id, 1, doc_id::VARCHAR || '/x' FROM documents",
+    "markdown_tables": f"""WITH {planted_sql()}, l AS (SELECT doc_id, [trim(x) for x in string_split(t, chr(10)) if starts_with(trim(x), '|') AND NOT regexp_matches(trim(x), '^[|\\s:-]+$')] AS l FROM p), r AS (SELECT doc_id, unnest(l) AS x, unnest(range(0, len(l))) AS row FROM l)
+SELECT doc_id, row, array_to_string([trim(c) for c in string_split(regexp_replace(regexp_replace(x, '^\\|', ''), '\\|$', ''), '|')], '/') AS cells FROM r""",
 }

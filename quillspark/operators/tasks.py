@@ -128,10 +128,12 @@ def q_bank_status(spark, d):
 
 
 def _sessions(spark, d):
+    """Conversations by their whole first prompts; every fifth comes once more as a retry."""
     c = table(spark, d, "conversations").filter("role = 'user'")
     first = c.groupBy("conv_id").agg(F.min_by("text", "turn").alias("prompt"))
+    first = first.unionByName(first.filter("conv_id % 5 = 0").select((F.col("conv_id") + 1000007).alias("conv_id"), "prompt"))
     return first.select(F.col("conv_id").alias("session_ref"), F.concat(F.lit("s"), (F.col("conv_id") % 4).cast("string")).alias("source"),
-                        (F.col("conv_id") % 7).alias("group_id"), canon.sha256_hex(F.substring(F.col("prompt"), 1, 2)).alias("prompt_sha256"), "prompt")
+                        (F.col("conv_id") % 1000007 % 7).alias("group_id"), canon.sha256_hex(F.col("prompt")).alias("prompt_sha256"), "prompt")
 
 
 def q_first_prompt(spark, d):
@@ -165,8 +167,9 @@ _PART = f"CASE WHEN {_UNIT} < 0.35 THEN 'pruning' WHEN {_UNIT} < 0.35::DOUBLE +
 _BANK = f"""b AS (SELECT c_custkey::VARCHAR AS group_id, [x for x in [CASE WHEN c_nationkey % 5 = 0 THEN 'start_revision' END,
   CASE WHEN c_acctbal <= 0 THEN 'issue' END, CASE WHEN c_mktsegment = 'BUILDING' THEN 'oracle' END] if x IS NOT NULL] AS missing FROM customer WHERE {_PART} = 'golden'),
 h AS (SELECT field, count(*) AS n FROM (SELECT unnest(missing) AS field FROM b) GROUP BY field)"""
-_SESS = """s AS (SELECT conv_id AS session_ref, 's' || (conv_id % 4)::VARCHAR AS source, conv_id % 7 AS group_id, arg_min(text, turn) AS prompt FROM conversations WHERE role = 'user' GROUP BY conv_id),
-p AS (SELECT *, sha256(substr(prompt, 1, 2)) AS prompt_sha256 FROM s)"""
+_SESS = """f AS (SELECT conv_id, arg_min(text, turn) AS prompt FROM conversations WHERE role = 'user' GROUP BY conv_id), g AS (SELECT * FROM f UNION ALL SELECT conv_id + 1000007, prompt FROM f WHERE conv_id % 5 = 0),
+s AS (SELECT conv_id AS session_ref, 's' || (conv_id % 4)::VARCHAR AS source, conv_id % 1000007 % 7 AS group_id, prompt FROM g),
+p AS (SELECT *, sha256(prompt) AS prompt_sha256 FROM s)"""
 
 ORACLE_SQL = {
     "partition_assign": f"SELECT c_custkey::VARCHAR AS group_id, CASE WHEN c_custkey % 10 = 3 THEN 'validation' ELSE {_PART} END AS partition, c_custkey % 10 = 3 AS frozen FROM customer",

@@ -139,3 +139,50 @@ def test_swap_descent_reaches_a_local_optimum():
         got = models.swap_descent(w, 10, [0, 1, 2, 3], passes=50)
         assert cost(got) <= cost([0, 1, 2, 3]) and len(got) == 4
         assert all(cost((set(got) - {x}) | {y}) >= cost(got) for x in got for y in set(range(10)) - set(got))
+
+
+def test_selection_takes_the_least_subset_and_the_first_of_equals(spark):
+    rng = random.Random(5)
+    import itertools
+
+    for layer in range(3):
+        f = {(i, j): rng.randrange(3) for i in range(8) for j in range(8)}
+        rows = [(layer, i, j, v) for (i, j), v in f.items() if v]
+        got = models.exhaustive_select(spark.createDataFrame(rows, "layer int, i int, j int, f long"), 8, 4).first()
+        cost = {c: sum(f[i, j] for i in c for j in c) for c in itertools.combinations(range(8), 4)}
+        best = min(cost.values())
+        assert (got.objective, tuple(got.pruned), got.ties) == (best, min(c for c in cost if cost[c] == best), sum(v == best for v in cost.values()))
+
+
+def test_levels_refuse_repeats(spark):
+    rows = [(1, 1, "pass", True), (1, 2, "pass", False), (2, 3, "fail", True)]
+    schema = "candidate_id int, level int, verdict string, has_evidence boolean"
+    got = {(r.candidate_id, r.level): (r.verdict, r.overall) for r in evalstats.level_rollup(spark.createDataFrame(rows, schema)).collect()}
+    assert got[1, 1] == ("pass", "unmeasured") and got[1, 2][0] == "unmeasured" and got[2, 3] == ("fail", "fail") and len(got) == 14
+    with pytest.raises(ValueError):
+        evalstats.level_rollup(spark.createDataFrame([*rows, (1, 1, "fail", True)], schema))
+
+
+def test_quotas_add_up(spark):
+    rng = random.Random(6)
+    for total in (0, 3, 20, 500):
+        rows = [(f"s{k}", rng.randrange(1, 40)) for k in range(9)]
+        got = {r.stratum: r.quota for r in evalstats.quotas(spark.createDataFrame(rows, "stratum string, size long"), total).collect()}
+        floors = sum(min(2, n) for _, n in rows)
+        assert sum(got.values()) == max(floors, min(total, sum(n for _, n in rows))) and all(min(2, n) <= got[s] <= n for s, n in rows)
+
+
+def test_paired_test_needs_one_seed_a_task(spark):
+    schema = "task_id int, seed int, success boolean"
+    a = spark.createDataFrame([(1, 1, True), (2, 1, False), (3, 1, False)], schema)
+    b = spark.createDataFrame([(1, 1, False), (2, 1, True), (3, 1, False)], schema)
+    assert tuple(evalstats.discordant(evalstats.pair(a, b, ["task_id", "seed"])).first()) == (3, 0, 1, 1)
+    c = spark.createDataFrame([(1, 1, True), (1, 2, False)], schema)
+    assert evalstats.discordant(evalstats.pair(c, c, ["task_id", "seed"])).first().repeated == 1
+    m = evalstats.wins_losses(evalstats.cluster_means(evalstats.pair(c, c, ["task_id", "seed"]))).first()
+    assert (m.wins, m.losses, m.ties, m.ratio) == (0, 0, 1, 1.0)
+
+
+def test_canonical_json_keeps_nulls(spark):
+    got = spark.range(1).select(canon.canonical_json(b=F.lit(1), a=F.lit(None).cast("string"))).first()[0]
+    assert got == '{"a":null,"b":1}'
