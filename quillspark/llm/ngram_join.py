@@ -228,6 +228,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     same = member.groupBy("rep").agg((F.count("*") - 1).alias("same"))
     degree = same.join(link_counts(member, reps, comp, percent), "rep", "left")
     degree = degree.select(F.col("rep").alias("class_id"), (F.col("same") + F.coalesce("n_links", F.lit(0))).alias("n_links"))
+    degree = scratch.stage(degree, "degrees")
     return out.join(degree, "class_id", "left").select(*out.columns, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
