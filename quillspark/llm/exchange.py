@@ -44,6 +44,10 @@ def bucket_of(doc: np.ndarray, n: int) -> np.ndarray:
     return (H.mix(doc.astype(np.int64).view(np.uint64)) % np.uint64(n)).astype(np.int64)
 
 
+def part_of(key: np.ndarray, n: int) -> np.ndarray:
+    return ((H.mix(key + np.uint64(1)) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
 def by_part(part: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """(part, indices in order) of each part that has any."""
     order = np.argsort(part, kind="stable")
@@ -54,7 +58,8 @@ def by_part(part: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def send(key: np.ndarray, doc: np.ndarray, aux: np.ndarray | None, n: int) -> Iterator[tuple]:
-    """Rows of SCHEMA for one run. Entries must be distinct; aux None: the key itself."""
+    """Rows of SCHEMA for one run. Entries must be distinct; aux None: the key itself. Parts go by
+    a mix of the key, for keys that are least hashes of a span all lie low."""
     order = np.argsort(key, kind="stable")
     key, doc = key[order], doc[order]
     aux = None if aux is None else aux[order]
@@ -64,7 +69,7 @@ def send(key: np.ndarray, doc: np.ndarray, aux: np.ndarray | None, n: int) -> It
     many[:-1] |= same
     first = np.ones(len(key), bool)
     first[1:] = ~same
-    for p, i in by_part(((key >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64), n):
+    for p, i in by_part(part_of(key, n), n):
         alone, shared = i[~many[i]], i[many[i] & first[i]]
         if len(alone):
             yield p, SINGLE, H.sorted_planes(key[alone]), H.planes(doc[alone]), b"" if aux is None else H.planes(aux[alone])

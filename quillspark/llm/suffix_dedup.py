@@ -226,10 +226,6 @@ def _merge(n: int, expand: bool = True):
     return f
 
 
-def _part_of(h: np.ndarray, n: int) -> np.ndarray:
-    return (H.mix(h + np.uint64(1)) >> np.uint64(32)).astype(np.int64) * n >> 32
-
-
 def _candidates(docs: list[bytes], hits: list[bytes]) -> tuple:
     """Stretches of a run's documents that ``hits`` name."""
     buf, ends = _joined(docs)
@@ -265,7 +261,7 @@ def _suffixes(n: int):
             whole = buf.tobytes()
             # the suffix at the anchor, then what stands before it reversed, then where they part
             items = [whole[c : b + WIDTH] + whole[a:c][::-1] + (b - c).to_bytes(2, "big", signed=True) for a, b, c in zip(lo[at].tolist(), hi[at].tolist(), anchor[at].tolist())]
-            rows = _send_runs(items, _part_of(gram[at], n), ids[doc[at]], number[at].astype(np.uint64), n)
+            rows = _send_runs(items, X.part_of(gram[at], n), ids[doc[at]], number[at].astype(np.uint64), n)
             yield pd.DataFrame(list(rows), columns=["part", "kind", "a", "b", "c"])
 
     return f
@@ -333,7 +329,7 @@ def _edges(n: int):
 def _send_names(g: np.ndarray, w: np.ndarray, doc: np.ndarray, aux: np.ndarray, n: int) -> Iterator[tuple]:
     """As ``_send_runs`` for the 16-byte names (g, w), in array operations."""
     twice = []
-    for p, at in X.by_part(_part_of(w, n), n):
+    for p, at in X.by_part(X.part_of(w, n), n):
         at = at[np.lexsort((w[at], g[at]))]
         same = (g[at][1:] == g[at][:-1]) & (w[at][1:] == w[at][:-1])
         many = np.zeros(len(at), bool)

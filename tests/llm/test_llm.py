@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -440,6 +441,16 @@ def test_suffix_dedup_equals_brute_force(spark):
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+def test_gram_hashes_spread_over_parts():
+    """Anchors have the least hashes of their spans; the parts of their exchange still hold alike."""
+    rng = random.Random(3)
+    batch = pd.DataFrame({"doc_id": range(40), "text": [rng.randbytes(20_000) for _ in range(40)]})
+    size = Counter()
+    for out in suffix_dedup._grams(16)(iter([batch])):
+        size.update(dict(out[out["kind"] == suffix_dedup.X.SINGLE].groupby("part")["b"].apply(lambda b: sum(map(len, b)))))
+    assert len(size) == 16 and max(size.values()) < 1.3 * min(size.values())
+
+
 def test_merges():
     rng = random.Random(6)
     for _ in range(60):
