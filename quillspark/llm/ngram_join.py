@@ -44,7 +44,7 @@ from quillspark.llm.components import components
 
 FRAGMENTS = 8
 #: Sets in a block, their n-grams on average, and n-grams that are compared at once.
-BLOCK, BLOCK_GRAMS, GRAMS = 512, 1 << 19, 4096
+BLOCK, BLOCK_GRAMS, GRAMS = 1024, 1 << 20, 2048
 SET_SCHEMA = "doc_id long, n_shingles long, d1 long, d2 long, hs array<long>"
 
 
