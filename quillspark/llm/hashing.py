@@ -53,13 +53,31 @@ def windows(s: np.ndarray, width: int) -> np.ndarray:
     return mix((s[width:] - s[:n]) * powers(len(s), True)[:n])
 
 
+#: Bytes of text that are hashed at once, unless one document is longer.
+PIECE = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def words(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hash, document index) of each word of lower-cased UTF-8 documents; words are runs
-    without the space and the bytes 0x09 to 0x0D."""
+    without the space and the bytes 0x09 to 0x0D. Documents are hashed about ``PIECE`` bytes at
+    a time; a word's hash does not depend on its piece."""
+    hs, ds = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    at = 0
+    while at < len(docs):
+        end, size = at, 0
+        while end < len(docs) and (end == at or size + len(docs[end]) <= PIECE):
+            size += len(docs[end])
+            end += 1
+        h, d = _piece_words(docs[at:end])
+        hs.append(h)
+        ds.append(d + at)
+        at = end
+    return np.concatenate(hs), np.concatenate(ds)
+
+
+def _piece_words(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     buf = np.frombuffer(b" ".join([b"", *docs, b""]), np.uint8)
     space = _SPACE[buf]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
