@@ -88,14 +88,14 @@ def _assemble(least: int):
 
 
 def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, hs): set size, set digest, and the shared shingles of
-    documents that can link (else null)."""
+    """(doc_id, n_shingles, d1, d2, hs), staged: set size, set digest, and the shared shingles
+    of documents that can link (else null)."""
     spark = docs.sparkSession
     scratch.small_batches(spark)
     n = 2 * scratch.parts(spark, docs)
     d = scratch.one_row_per_id(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), "doc_id")
     sent = d.mapInPandas(_sender(n, width), X.SCHEMA)
-    return X.exchange(sent, n).groupBy("part").applyInPandas(_assemble(percent), SET_SCHEMA)
+    return scratch.stage_through(X.exchange(sent, n), "answers", lambda x: x.groupBy("part").applyInPandas(_assemble(percent), SET_SCHEMA), "sets")
 
 
 def _segments(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -106,13 +106,17 @@ def _segments(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     df = scratch.stage(each.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), "frequencies")
     # the order: frequency band, then the hash as a fraction of its range
     unit = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
-    each = scratch.stage(each.join(df, "h").select("rep", "n", "h", (F.floor(F.log2("df")) + unit).alias("o")), "ngrams")
-    cuts = each.agg(F.percentile_approx("o", [i / FRAGMENTS for i in range(1, FRAGMENTS)], 1000).alias("c")).first()[0] or []
-    frag = sum((F.when(F.col("o") > float(c), 1).otherwise(0) for c in cuts), F.lit(0))
-    segs = each.groupBy("rep", frag.cast("int").alias("frag")).agg(F.first("n").alias("n"), F.collect_list("h").alias("hs"))
+    each = each.join(df, "h").select("rep", "n", F.struct((F.floor(F.log2("df")) + unit).alias("o"), "h").alias("x"))
+    # each set's n-grams cross once, into one list in order; fragments and prefixes are slices of it
+    whole = scratch.stage(each.groupBy("rep").agg(F.first("n").alias("n"), F.array_sort(F.collect_list("x")).alias("l")), "ranked")
+    share = [i / FRAGMENTS for i in range(1, FRAGMENTS)]
+    cuts = whole.select(F.explode("l.o").alias("o")).agg(F.percentile_approx("o", share, 1000).alias("c")).first()[0] or []
+    ends = [F.lit(0), *(F.expr(f"size(filter(l.o, o -> o <= {float(c)!r}D))") for c in cuts), F.size("l")]
+    segs = whole.select("rep", "n", F.col("l.h").alias("h"), F.array(*ends).alias("at"))
+    cut = [F.struct(F.lit(i).alias("frag"), F.slice("h", F.col("at")[i] + 1, F.col("at")[i + 1] - F.col("at")[i]).alias("hs")) for i in range(len(cuts) + 1)]
+    segs = segs.select("rep", "n", F.explode(F.array(*cut)).alias("x")).select("rep", "x.frag", "n", "x.hs").filter(F.size("hs") > 0)
     # n-grams of one set alone come first in the order and take up places of the prefix
     need = F.ceil(F.col("n") * F.lit(percent) / 100)
-    whole = each.groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("o", "h"))).alias("l"))
     take = (F.size("l") - need + 1).cast("int")
     prefix = whole.filter(take > 0).select("rep", "n", F.size("l").alias("s"), F.posexplode(F.slice("l", F.lit(1), take)).alias("at", "x"))
     prefix = prefix.select("x.h", "rep", "n", (F.col("s") - F.col("at")).cast("long").alias("left"), (F.col("n") - F.col("s")).alias("own"))
@@ -180,7 +184,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """(doc_id, n_shingles, component_id, class_id, n_links): class_id is the smallest id
     with an equal set; n_links counts the other documents that the document links with,
     those with an equal set too. Without ``count_links`` that column is left out."""
-    all_sets = scratch.stage(shingle_sets(docs, key, text, width, percent), "sets")
+    all_sets = shingle_sets(docs, key, text, width, percent)
     sets = all_sets.filter("hs is not null")
     # what is joined to rows is written first: Spark splits a frequent key only where no aggregate
     # stands between the exchange and the join
@@ -188,6 +192,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     member = sets.select("doc_id", "d1", "d2", "n_shingles").join(classes, ["d1", "d2", "n_shingles"]).select("doc_id", "rep")
     member = scratch.stage(member, "classes")
     reps = member.filter("doc_id = rep").select("rep").join(sets.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "hs"), "rep")
+    # read three times; joined anew each time, all sets would cross each time
+    reps = scratch.stage(reps, "reps")
     segs, prefix = _segments(reps, percent)
 
     def able(a: str, b: str):

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import pathlib
 import random
 import re
 import zlib
@@ -87,6 +88,28 @@ def test_join_counts_every_link(spark, corpus, monkeypatch):
         assert got == want
 
 
+def test_join_moves_all_sets_to_their_classes_once(spark, corpus, monkeypatch):
+    seen, stage = [], scratch.stage
+
+    def spy(df, name):
+        seen.append((name, any("/quill-sets-" in f for f in df.inputFiles())))
+        return stage(df, name)
+
+    monkeypatch.setattr(scratch, "stage", spy)
+    ngram_join.jaccard_components(docs(spark, corpus))
+    assert [name for name, reads in seen if reads and name != "classes"] == ["reps"]
+
+
+def test_stage_through_leaves_nothing_between(spark):
+    def staged():
+        return {p.name for p in pathlib.Path(scratch.base_dir(spark).removeprefix("file://")).glob("quill-*")}
+
+    kept = staged()
+    out = scratch.stage_through(spark.range(10), "between", lambda x: x.filter("id > 6"), "after")
+    assert sorted(r.id for r in out.collect()) == [7, 8, 9]
+    assert [n.split("-")[1] for n in staged() - kept] == ["after"]
+
+
 def test_join_edges(spark):
     assert ngram_join.jaccard_components(empty(spark)).count() == 0
     got = ngram_join.jaccard_components(docs(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (None, "x"), (2, None)])).collect()
